@@ -514,7 +514,7 @@ def rates(spark, sf_dir):
     "cumulative_incidence",
     "PIPE-16",
     sql="SELECT age_group, date, "
-    + ", ".join(f"round({r}, 6) AS {r}" for r in RATES)
+    + ", ".join(f"round({r}, 6) + 0.0 AS {r}" for r in RATES)
     + " FROM incidence_rates",
 )
 def _(spark, sf_dir):
@@ -537,7 +537,7 @@ WHERE date BETWEEN DATE '{X.REPORT_YEAR[0]}' AND DATE '{X.REPORT_YEAR[1]}'"""
     "incidence_long",
     "PIPE-17",
     sql="""
-SELECT age_label, date, dose_label, round(incidence, 6) AS incidence FROM incidence_rows
+SELECT age_label, date, dose_label, round(incidence, 6) + 0.0 AS incidence FROM incidence_rows
 WHERE NOT (age_label = '0-2 years old' AND dose_label IN ('1+ doses', '2+ doses'))""",
 )
 def _(spark, sf_dir):
@@ -548,7 +548,7 @@ def _(spark, sf_dir):
     "latest_incidence",
     "PIPE-18",
     sql="""
-SELECT age_label, date, dose_label, round(incidence, 6) AS incidence FROM incidence_rows
+SELECT age_label, date, dose_label, round(incidence, 6) + 0.0 AS incidence FROM incidence_rows
 WHERE date = (SELECT max(date) FROM incidence_rows WHERE date <= DATE '1999-11-30')
   AND dose_label IN ('0 dose', '1+ doses', '2+ doses', '3+ doses')""",
 )

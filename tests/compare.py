@@ -22,12 +22,9 @@ def _norm(v):
     if v is None:
         return (0, "")
     if isinstance(v, float):
-        return (1, "nan") if math.isnan(v) else (1, f"{v:.6f}".rstrip("0").rstrip("."))
-    if isinstance(v, bool):
-        return (2, str(v))
-    if isinstance(v, int):
-        return (1, str(v))
-    return (3, str(v))
+        return (1, "nan") if math.isnan(v) else (1, repr(round(v, 6)))
+    # Whole numbers, booleans, dates and text differ by type as well.
+    return (2, f"{type(v).__name__} {v}")
 
 
 def rows_of(columns, rows):
