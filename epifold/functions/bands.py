@@ -17,15 +17,13 @@ def _col(c: Column | str) -> Column:
 def recode(c: Column | str, mapping: Mapping, default: Column | None = None) -> Column:
     """Value of ``mapping`` for the column, else ``default`` (NULL if not given).
 
-    A ``CASE`` over literals, for dictionaries of a few dozen entries; larger
-    ones belong in a joined dimension.
+    A lookup in a literal map: unlike a ``CASE`` it evaluates the column once,
+    which matters when the column is itself derived. For dictionaries of a few
+    dozen entries; larger ones belong in a joined dimension.
     """
-    c = _col(c)
-    out = None
-    for value, label in mapping.items():
-        hit = c == F.lit(value)
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out if default is None else out.otherwise(default)
+    pairs = [F.lit(v) for pair in mapping.items() for v in pair]
+    found = F.try_element_at(F.create_map(*pairs), _col(c))
+    return found if default is None else F.coalesce(found, default)
 
 
 def age_band(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +21,7 @@ from epifold.functions import (
     percent_text,
     recode,
 )
+from epifold.operators.joins import join_per_key
 from epifold.operators.series import complete_series, running_sums
 
 
@@ -36,7 +39,10 @@ def dose_rows(df: DataFrame, null_policy: str = "keep") -> DataFrame:
             "age_group": recode("age_band", dims.DOSE_BANDS),
         }
     )
-    return rows.dropna("any") if null_policy == "drop" else rows
+    if null_policy == "keep":
+        return rows
+    # One condition per column, so that those on source columns reach the scan.
+    return rows.where(reduce(and_, [F.col(c).isNotNull() for c in rows.columns]))
 
 
 def dose_counts(
@@ -165,12 +171,10 @@ def provincial_coverage(
                 ]
             )
         ),
-    ).alias("g")
-    pop = population.select("province", "age_group", "population").alias("p")
-    on = [F.col(f"g.{k}").eqNullSafe(F.col(f"p.{k}")) for k in ("province", "age_group")]
-    return long.join(pop, on, "left").select(
-        "g.*", "p.population", percent("g.cum_n", "p.population").alias("pct")
     )
+    pop = population.select("province", "age_group", "population")
+    joined = join_per_key(long, pop, ["province", "age_group"], "left")
+    return joined.withColumn("pct", percent("cum_n", "population"))
 
 
 def with_zero_dose(

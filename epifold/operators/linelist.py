@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epifold import dims
 from epifold.functions import age_band, dose_class, month_start
+from epifold.operators.joins import join_per_key
 from epifold.operators.series import complete_series, running_sums
 from epifold.sources.literals import literal_table
 from epifold.sources.storage import materialise_once
@@ -53,23 +54,21 @@ def apply_overrides(
 
     A list of pairs becomes a literal table, broadcast because its length is
     known. A DataFrame ``(key, col)`` with one row per key is joined as the
-    optimizer sees fit from its size.
+    planner sees fit from its size.
     """
     kinds = dict(df.dtypes)
-    if not isinstance(overrides, DataFrame):
+    if isinstance(overrides, DataFrame):
+        fixes = overrides.where(F.col(key).isNotNull()).select(key, F.col(col).alias("_override"))
+        joined = join_per_key(df, fixes, [key], "left")
+    else:
         key_kind = "string" if kinds[key] == "string" else "bigint"
         if key_kind == "bigint":
             overrides = [(int(k), v) for k, v in overrides]
-        overrides = literal_table(
+        fixes = literal_table(
             df.sparkSession, overrides, ((key, key_kind), ("_override", kinds[col]))
         )
-    else:
-        overrides = overrides.select(key, F.col(col).alias("_override"))
-    return (
-        df.join(overrides, key, "left")
-        .withColumn(col, F.coalesce("_override", col))
-        .select(*df.columns)
-    )
+        joined = df.join(fixes, key, "left")
+    return joined.withColumn(col, F.coalesce("_override", col)).select(*df.columns)
 
 
 def first_record(df: DataFrame, key: str, order: str = "seq") -> DataFrame:

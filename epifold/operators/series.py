@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from epifold.operators.joins import join_per_key
+
 
 def calendar(start: str, end: str, step: str = "month") -> Column:
     """Array of dates from ``start`` to ``end`` (ISO text), both ends included."""
@@ -96,10 +98,7 @@ def latest_point(
     if not keys:
         # An aggregate without keys is one row.
         return df.join(F.broadcast(top), at, "left_semi")
-    left, right = df.alias("l"), top.alias("r")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    on.append(F.col(f"l.{at}") == F.col(f"r.{at}"))
-    return left.join(right, on, "left_semi")
+    return join_per_key(df.where(F.col(at).isNotNull()), top, [*keys, at], "left_semi")
 
 
 def period_totals(df: DataFrame, period: str, measure: str = "n") -> DataFrame:

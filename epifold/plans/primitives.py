@@ -32,6 +32,7 @@ from epifold.functions import (
     year_month,
 )
 from epifold.operators import causes, comorbidity, coverage, geo, linelist, series
+from epifold.operators.joins import join_per_key
 from epifold.plans import fixtures as X
 from epifold.plans import registers as R
 from epifold.plans.registry import part, query
@@ -243,7 +244,8 @@ WHERE case_id IN (SELECT case_id FROM r_linelist WHERE death_date > DATE '1998-0
 def _(spark, sf_dir):
     rows = linelist_rows(spark, sf_dir).select("seq", "case_id", "death_date")
     ids = rows.where(F.col("death_date") > F.lit("1998-01-01").cast("date"))
-    return rows.join(ids.select("case_id").distinct(), "case_id", "left_semi").drop("death_date")
+    ids = ids.select("case_id").distinct()
+    return join_per_key(rows, ids, ["case_id"], "left_semi").drop("death_date")
 
 
 @query(
@@ -942,7 +944,7 @@ def _(spark, sf_dir):
     # Reduced per case first and joined back: no task has to hold a whole case.
     rows = linelist_rows(spark, sf_dir).select("seq", "case_id", "death_date")
     known = linelist.dedup_linelist(rows, "case_id", "seq", ["death_date"]).drop("seq")
-    return rows.drop("death_date").join(known, "case_id")
+    return join_per_key(rows.drop("death_date"), known, ["case_id"])
 
 
 @query(

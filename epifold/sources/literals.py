@@ -45,9 +45,10 @@ def literal_table(
 def cause_dimension(spark: SparkSession, ranges=dims.CAUSE_RANGES) -> DataFrame:
     """One row per coded cause: ``cause_code, cause_group, cause_group_short``.
 
-    The ranges are literals of two-digit numbers, so there are at most 100
-    codes per range and the table is always small enough to broadcast.
+    The ranges are literals, so the number of codes is known and checked before
+    the table is sent to every executor.
     """
+    n_codes = sum(high - low + 1 for _, low, high, _ in ranges)
     rows = [
         (letter, low, high, dims.CAUSE_GROUPS[g][1], dims.CAUSE_GROUPS[g][0])
         for letter, low, high, g in ranges
@@ -65,13 +66,12 @@ def cause_dimension(spark: SparkSession, ranges=dims.CAUSE_RANGES) -> DataFrame:
         "cause_group",
         "cause_group_short",
     )
-    return F.broadcast(
-        codes.select(
-            F.concat("letter", F.lpad(F.col("number").cast("string"), 2, "0")).alias("cause_code"),
-            "cause_group",
-            "cause_group_short",
-        )
+    codes = codes.select(
+        F.concat("letter", F.lpad(F.col("number").cast("string"), 2, "0")).alias("cause_code"),
+        "cause_group",
+        "cause_group_short",
     )
+    return F.broadcast(codes) if n_codes <= BROADCAST_ROWS else codes
 
 
 def timeline(spark: SparkSession, rows=dims.TIMELINE) -> DataFrame:

@@ -187,3 +187,29 @@ def test_totals_match_their_parts(spark):
     both = series.totals_with_parts(monthly, "month", "age_group")
     totals = {r["month"]: r["n"] for r in both.where("is_total").collect()}
     assert totals == {r["month"]: r["n"] for r in series.period_totals(monthly, "month").collect()}
+
+
+def test_hot_key_of_a_join_is_split(spark):
+    """The adaptive planner splits the partition of a hot key in join_per_key."""
+    from epifold.operators.joins import join_per_key
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        lines = hot_lines(spark).select("case_id", "seq", "death_date").repartition(8)
+        known = linelist.dedup_linelist(lines, "case_id", "seq", ["death_date"]).drop("seq")
+        for how in ("inner", "left", "left_semi"):
+            joined = join_per_key(lines.drop("death_date"), known, ["case_id"], how)
+            assert len(joined.collect()) == N
+            assert "skew=true" in plan_of(joined), how
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
