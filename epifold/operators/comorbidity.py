@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epifold import dims
-from epifold.functions import first_flag, flag_count, recode
+from epifold.functions import flag_count, flag_set, recode
 
 
 def _in_period(date: str, after: str | None, until: str | None) -> Column:
@@ -22,19 +24,25 @@ def _in_period(date: str, after: str | None, until: str | None) -> Column:
 
 
 def flag_class(flags: Sequence[str], counted: Sequence[str]) -> Column:
-    """Class of one row of text flags.
+    """Class of one row of text flags, as a number for :func:`class_names`.
 
     No flag set: none reported. More than one of the ``counted`` flags: several.
     Else the set flag, counted ones first. A NULL flag leaves the class NULL.
     """
-    ordered = [*counted, *[f for f in flags if f not in counted]]
-    total = flag_count(flags)
-    return (
-        F.when(total == 0, F.lit(dims.NONE_REPORTED))
-        .when(total.isNull(), F.lit(None))
-        .when(flag_count(counted) > 1, F.lit(dims.MULTIPLE))
-        .otherwise(first_flag(ordered))
+    names = class_names(flags, counted)
+    known = reduce(and_, [F.col(f).isNotNull() for f in flags])
+    chosen = F.coalesce(
+        *[F.when(flag_set(f), F.lit(i)) for i, f in enumerate(names) if f in flags],
+        F.lit(names.index(dims.NONE_REPORTED)),
     )
+    several = F.when(flag_count(counted) > 1, F.lit(names.index(dims.MULTIPLE)))
+    return F.when(known, F.coalesce(several, chosen))
+
+
+def class_names(flags: Sequence[str], counted: Sequence[str]) -> list[str]:
+    """Names of the classes by number."""
+    rest = [f for f in flags if f not in counted]
+    return [*counted, *rest, dims.NONE_REPORTED, dims.MULTIPLE]
 
 
 def condition_from_flags(
@@ -53,12 +61,15 @@ def condition_from_flags(
     first reduced to one per key and class, of which there are as many as
     flags; only those meet in the window that looks for the period.
     """
-    classes = df.groupBy(key, flag_class(flags, counted).alias("condition")).agg(
+    classes = df.groupBy(key, flag_class(flags, counted).alias("_class")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(_in_period(date, after, until)).alias("_hit")
     )
     kept = classes.withColumn("_hit", F.max("_hit").over(W.partitionBy(key))).where("_hit")
+    shown = {
+        i: labels[name] for i, name in enumerate(class_names(flags, counted)) if name in labels
+    }
     return (
-        kept.withColumn("condition", recode("condition", labels))
+        kept.withColumn("condition", recode("_class", shown))
         .groupBy(key, "condition")
         .agg(F.sum("n_rows").alias("n_rows"))
     )

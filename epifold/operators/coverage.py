@@ -22,7 +22,7 @@ from epifold.functions import (
     recode,
 )
 from epifold.operators.joins import join_per_key
-from epifold.operators.series import complete_series, running_sums
+from epifold.operators.series import Calendar, complete_series, running_sums
 
 
 def dose_rows(df: DataFrame, null_policy: str = "keep") -> DataFrame:
@@ -60,7 +60,7 @@ def _doses(condition: Column) -> Column:
 
 def cumulative_doses_wide(
     df: DataFrame,
-    points: Column,
+    calendar: Calendar,
     before: str,
     doses: Sequence[str] = dims.DOSES,
     null_policy: str = "drop",
@@ -77,7 +77,7 @@ def cumulative_doses_wide(
         .agg(*[_doses(F.col("dose") == d).alias(f"n_{d}") for d in doses])
     )
     measures = [f"n_{d}" for d in doses]
-    dense = complete_series(counts, ["age_group"], "month", points, measures)
+    dense = complete_series(counts, ["age_group"], "month", calendar, measures)
     dense = dense.where(F.col("month") < F.lit(before).cast("date"))
     summed = running_sums(
         dense, ["age_group"], "month", {f"doses_{d}": f"n_{d}" for d in doses}
@@ -130,30 +130,30 @@ def coverage_report(
 def provincial_coverage(
     df: DataFrame,
     population: DataFrame,
-    points: Column,
+    calendar: Calendar,
     ages: Sequence[str] = dims.AGE_LABELS,
     doses: Mapping[str, str] = dims.DOSE_NAMES,
 ) -> DataFrame:
     """Running dose totals and coverage on a dense province grid.
 
     One row per observed province, age group, dose and month of the calendar.
-    Age and dose are closed lists and become columns of the first aggregate;
+    Age and dose are closed lists and become columns of the first aggregate,
+    picked by a cell number that is looked up once per row;
     the calendar is filled per province, so the grid needs no join. Rows outside
     the calendar or without a known month do not count.
     """
-    cells = {f"n{i}_{j}": (a, d) for i, a in enumerate(ages) for j, d in enumerate(doses)}
+    pairs = [(a, d) for a in ages for d in doses]
+    cells = {f"n{i}": pair for i, pair in enumerate(pairs)}
+    row = recode("age_group", {a: i * len(doses) for i, a in enumerate(ages)})
+    cell = row + recode("dose", {d: i for i, d in enumerate(doses)})
     counts = (
         dose_rows(df)
         .where(F.col("age_band").isin(*dims.DOSE_BANDS))
+        .select("province", "month", "qty", cell.alias("_cell"))
         .groupBy("province", "month")
-        .agg(
-            *[
-                _doses((F.col("age_group") == a) & (F.col("dose") == d)).alias(c)
-                for c, (a, d) in cells.items()
-            ]
-        )
+        .agg(*[_doses(F.col("_cell") == i).alias(c) for i, c in enumerate(cells)])
     )
-    dense = complete_series(counts, ["province"], "month", points, list(cells), outside="drop")
+    dense = complete_series(counts, ["province"], "month", calendar, list(cells), outside="drop")
     summed = running_sums(dense, ["province"], "month", {f"cum_{c}": c for c in cells})
     long = summed.select(
         "province",

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epifold import dims
 from epifold.functions import age_band, dose_class, month_start
 from epifold.operators.joins import join_per_key
-from epifold.operators.series import complete_series, running_sums
+from epifold.operators.series import Calendar, complete_series, running_sums
 from epifold.sources.literals import literal_table
 from epifold.sources.storage import materialise_once
 
@@ -109,12 +109,12 @@ def monthly_counts(
     date: str,
     keys: Sequence[str] = ("age_group",),
     until: str | None = None,
-    points: Column | None = None,
+    calendar: Calendar | None = None,
 ) -> DataFrame:
     """Rows per key and month as ``month, n``; a NULL key is a group.
 
-    Rows without a date or after ``until`` are left out. With calendar
-    ``points`` every key gets all months, zero where nothing happened.
+    Rows without a date or after ``until`` are left out. With a
+    ``calendar`` every key gets all its months, zero where nothing happened.
     """
     keys = list(keys)
     dated = df.where(F.col(date).isNotNull())
@@ -123,16 +123,18 @@ def monthly_counts(
     counts = dated.groupBy(*keys, month_start(date).alias("month")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counts if points is None else complete_series(counts, keys, "month", points, ["n"])
+    if calendar is None:
+        return counts
+    return complete_series(counts, keys, "month", calendar, ["n"])
 
 
 def daily_cumulative(
-    df: DataFrame, date: str, keys: Sequence[str], points: Column
+    df: DataFrame, date: str, keys: Sequence[str], calendar: Calendar
 ) -> DataFrame:
     """Gap-free daily counts per key with their running sum."""
     keys = list(keys)
     counts = df.groupBy(*keys, F.col(date).alias("date")).agg(F.count(F.lit(1)).alias("n"))
-    dense = complete_series(counts, keys, "date", points, ["n"])
+    dense = complete_series(counts, keys, "date", calendar, ["n"])
     return running_sums(dense, keys, "date", {"cum_n": "n"})
 
 
@@ -141,7 +143,7 @@ def daily_by_status(
     date: str,
     level: str,
     keys: Sequence[str],
-    points: Column,
+    calendar: Calendar,
 ) -> DataFrame:
     """Gap-free daily counts by dose class, wide, with three running sums.
 
@@ -154,6 +156,6 @@ def daily_by_status(
     counts = df.groupBy(*keys, F.col(date).alias("date")).agg(
         *[F.count(F.when(status == c, 1)).alias(c) for c in dims.DOSE_CLASSES]
     )
-    dense = complete_series(counts, keys, "date", points, dims.DOSE_CLASSES)
+    dense = complete_series(counts, keys, "date", calendar, dims.DOSE_CLASSES)
     cums = {f"cum_{i}": c for i, c in enumerate(dims.DOSE_CLASSES)}
     return running_sums(dense, keys, "date", cums)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,18 +12,48 @@ from pyspark.sql import functions as F
 from epifold.operators.joins import join_per_key
 
 
-def calendar(start: str, end: str, step: str = "month") -> Column:
-    """Array of dates from ``start`` to ``end`` (ISO text), both ends included."""
-    return F.sequence(
-        F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"interval 1 {step}")
-    )
+@dataclass(frozen=True)
+class Calendar:
+    """Dates from ``start`` to ``end`` (ISO text, both included) by day or month.
+
+    A monthly calendar starts on the first of a month.
+    """
+
+    start: str
+    end: str
+    step: str = "month"
+
+    @property
+    def first(self) -> Column:
+        return F.lit(self.start).cast("date")
+
+    @property
+    def last(self) -> Column:
+        return F.lit(self.end).cast("date")
+
+    def after(self, d: Column) -> Column:
+        """First point of the unbounded calendar after a date."""
+        return F.date_add(d, 1) if self.step == "day" else F.add_months(F.trunc(d, "MM"), 1)
+
+    def before(self, d: Column) -> Column:
+        """Last point of the unbounded calendar before a date."""
+        return F.date_sub(d, 1) if self.step == "day" else F.trunc(F.date_sub(d, 1), "MM")
+
+    def span(self, low: Column, high: Column) -> Column:
+        """Points from ``low`` to ``high``, both points; none if they are out of order."""
+        points = F.sequence(low, high, F.expr(f"interval 1 {self.step}"))
+        return F.when(low <= high, points).otherwise(F.array().cast("array<date>"))
+
+    def points(self) -> Column:
+        """Array of all points."""
+        return F.sequence(self.first, self.last, F.expr(f"interval 1 {self.step}"))
 
 
 def complete_series(
     df: DataFrame,
     keys: Sequence[str],
     at: str,
-    points: Column,
+    calendar: Calendar,
     measures: Sequence[str],
     outside: str = "keep",
 ) -> DataFrame:
@@ -35,26 +66,34 @@ def complete_series(
     aggregated series, no join and no second read of the input.
     """
     w = W.partitionBy(*keys).orderBy(F.col(at).asc_nulls_last())
-    before = F.lag(at).over(w)
-    last = F.lead(F.lit(True)).over(w).isNull()
     kinds = dict(df.dtypes)
     marked = df.select(
-        *keys, at, *measures, before.alias("_before"), last.alias("_last"), points.alias("_points")
+        *keys,
+        at,
+        *measures,
+        F.lag(at).over(w).alias("_before"),
+        F.lead(F.lit(True)).over(w).isNull().alias("_last"),
     )
 
     def row(point, values):
         return F.struct(point.alias(at), *[v.alias(m) for m, v in zip(measures, values)])
 
+    # greatest and least skip NULL: no row before, or no date of its own.
+    gap = calendar.span(
+        F.greatest(calendar.first, calendar.after(F.col("_before"))),
+        F.least(calendar.last, calendar.before(F.col(at))),
+    )
+    tail = F.when(
+        F.col("_last") & F.col(at).isNotNull(),
+        calendar.span(F.greatest(calendar.first, calendar.after(F.col(at))), calendar.last),
+    ).otherwise(F.array().cast("array<date>"))
     own = F.array(row(F.col(at), [F.col(m) for m in measures]))
-    gap = F.filter(
-        "_points",
-        lambda p: (F.col("_before").isNull() | (p > F.col("_before")))
-        & (F.col(at).isNull() | (p < F.col(at)) | (F.col("_last") & (p > F.col(at)))),
+    zeros = F.transform(
+        F.concat(gap, tail), lambda p: row(p, [F.lit(0).cast(kinds[m]) for m in measures])
     )
-    zeros = F.transform(gap, lambda p: row(p, [F.lit(0).cast(kinds[m]) for m in measures]))
     out = marked.select(*keys, F.inline(F.concat(own, zeros)))
     if outside == "drop":
-        out = out.where((F.col(at) >= F.array_min(points)) & (F.col(at) <= F.array_max(points)))
+        out = out.where(F.col(at).between(calendar.first, calendar.last))
     return out
 
 

@@ -28,12 +28,10 @@ FROM {orders}""",
 SELECT n.n_name AS province,
        CASE WHEN l.l_returnflag = 'A' THEN 'F' WHEN l.l_returnflag = 'R' THEN 'M' END AS sex,
        CAST(year(l.l_shipdate) AS INT) AS year,
-       CASE CAST(month(l.l_shipdate) AS INT) WHEN 1 THEN 'Enero' WHEN 2 THEN 'Febrero'
-            WHEN 3 THEN 'Marzo' WHEN 4 THEN 'Abril' WHEN 5 THEN 'Mayo' WHEN 6 THEN 'Junio'
-            WHEN 7 THEN 'Julio' WHEN 8 THEN 'Agosto' WHEN 9 THEN 'Septiembre'
-            WHEN 10 THEN 'Octubre' WHEN 11 THEN 'Noviembre'
-            WHEN 12 THEN CASE WHEN l.l_suppkey % 10 = 0 THEN 'S.I.' ELSE 'Diciembre' END END
-           AS month_es,
+       CASE WHEN month(l.l_shipdate) = 12 AND l.l_suppkey % 10 = 0 THEN 'S.I.' ELSE
+            rtrim(substr('Enero     Febrero   Marzo     Abril     Mayo      Junio     '
+                      || 'Julio     Agosto    SeptiembreOctubre   Noviembre Diciembre ',
+                         CAST(month(l.l_shipdate) AS INT) * 10 - 9, 10)) END AS month_es,
        CASE WHEN l.l_quantity < 10 THEN '0-2' WHEN l.l_quantity < 20 THEN '3-4'
             WHEN l.l_quantity < 30 THEN '5-11' WHEN l.l_quantity < 45 THEN '12-17' ELSE '18+' END
            AS age_band,
@@ -158,8 +156,24 @@ INTERVALS = (
 )
 
 
+# Declared, so that opening a table starts no job to look at its files.
+SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE,"
+    " c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,"
+    " p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,"
+    " l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,"
+    " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tables_of(view: str) -> list[str]:

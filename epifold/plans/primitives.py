@@ -551,7 +551,7 @@ def _(spark, sf_dir):
         .distinct()
         .select("province", each(dims.AGE_LABELS).alias("age_group"))
         .select("*", each(dims.DOSES).alias("dose"))
-        .select("*", F.explode(R.months()).alias("month"))
+        .select("*", F.explode(R.months().points()).alias("month"))
     )
 
 
@@ -568,9 +568,9 @@ FULL JOIN openings o
 )
 def _(spark, sf_dir):
     # Months before the calendar survive, months after the data are zero.
-    points = series.calendar("1996-03-01", "2003-12-01")
+    calendar = series.Calendar("1996-03-01", "2003-12-01")
     return series.complete_series(
-        monthly_openings(spark, sf_dir), ["age_group"], "month", points, ["n"]
+        monthly_openings(spark, sf_dir), ["age_group"], "month", calendar, ["n"]
     )
 
 

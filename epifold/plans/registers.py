@@ -52,11 +52,11 @@ DAYS_SQL = series_sql(*X.DAYS, "DAY")
 
 
 def months():
-    return series.calendar(*X.MONTHS, "month")
+    return series.Calendar(*X.MONTHS, "month")
 
 
 def days():
-    return series.calendar(*X.DAYS, "day")
+    return series.Calendar(*X.DAYS, "day")
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:

@@ -88,7 +88,7 @@ def case_curves(text_dates: DataFrame, dates: DataFrame, folder: str) -> dict[st
     )
     monthly_cases = linelist.monthly_counts(cases, "open_date", until=dims.DATE_CAP)
     monthly_deaths = linelist.monthly_counts(
-        cases, "death_date", until=dims.DATE_CAP, points=series.calendar(*dims.DEATH_MONTHS)
+        cases, "death_date", until=dims.DATE_CAP, calendar=series.Calendar(*dims.DEATH_MONTHS)
     )
     return {
         "monthly_cases": monthly_cases.withColumn("year_month", year_month("month")),
@@ -125,10 +125,10 @@ def coverage_and_incidence(
     )
     first = linelist.child_records(linelist.first_record(leveled, "case_id"))
     deaths = linelist.apply_overrides(first, dims.DEATH_DATE_FIXES, "case_id", "death_date")
-    days = series.calendar(*dims.DEATH_DAYS, "day")
+    days = series.Calendar(*dims.DEATH_DAYS, "day")
     daily = cut(linelist.daily_by_status(deaths, "death_date", "level", ["age_group"], days))
     national = cut(population.apportion(_apportioned(people, {}), keys=()))
-    months = series.calendar(*dims.DOSE_MONTHS)
+    months = series.Calendar(*dims.DOSE_MONTHS)
     given = cut(
         coverage.cumulative_doses_wide(
             doses.withColumnsRenamed(schemas.DOSE_COUNT_NAMES), months, dims.INCIDENCE_WINDOW[1]
@@ -186,7 +186,7 @@ def provincial_coverage(
         coverage.provincial_coverage(
             doses.withColumnsRenamed(schemas.DOSE_COUNT_NAMES),
             pop,
-            series.calendar(*dims.DOSE_MONTHS),
+            series.Calendar(*dims.DOSE_MONTHS),
         )
     )
     tables = {"curves": coverage.with_zero_dose(curves)}

@@ -84,9 +84,9 @@ def test_completion_keeps_outside_and_null_rows(spark):
         ],
         "k string, month date, n int",
     )
-    points = series.calendar("2020-01-01", "2020-03-01")
+    calendar = series.Calendar("2020-01-01", "2020-03-01")
     jan, feb, mar = (date(2020, m, 1) for m in (1, 2, 3))
-    got = rows(series.complete_series(df, ["k"], "month", points, ["n"]))
+    got = rows(series.complete_series(df, ["k"], "month", calendar, ["n"]))
     assert got == sorted(
         [
             ("a", date(2019, 12, 1), 5), ("a", jan, 0), ("a", feb, 7), ("a", mar, 0),
@@ -95,10 +95,40 @@ def test_completion_keeps_outside_and_null_rows(spark):
         ],
         key=str,
     )
-    inside = series.complete_series(df, ["k"], "month", points, ["n"], outside="drop")
+    inside = series.complete_series(df, ["k"], "month", calendar, ["n"], outside="drop")
     assert inside.count() == 9
 
 
+def test_calendar_steps(spark):
+    month, day = series.Calendar("2020-01-01", "2020-03-01"), series.Calendar("x", "x", "day")
+    mid = F.lit("2020-02-15").cast("date")
+    start = F.lit("2020-02-01").cast("date")
+    assert one(spark, month.after(mid)) == one(spark, month.after(start)) == date(2020, 3, 1)
+    assert one(spark, month.before(mid)) == date(2020, 2, 1)
+    assert one(spark, month.before(start)) == date(2020, 1, 1)
+    assert one(spark, day.after(start)) == date(2020, 2, 2)
+    assert one(spark, day.before(start)) == date(2020, 1, 31)
+    assert one(spark, F.size(month.points())) == 3
+    days = series.Calendar("2020-01-01", "2022-12-31", "day")
+    assert one(spark, F.size(days.points())) == 1096
+
+
+def test_completion_by_day_around_the_calendar(spark):
+    df = spark.createDataFrame(
+        [("a", date(2019, 1, 1), 1), ("a", date(2020, 1, 3), 2), ("a", date(2021, 1, 1), 3),
+         ("b", date(2018, 5, 5), 4), ("c", date(2030, 5, 5), 5)],
+        "k string, d date, n int",
+    )
+    calendar = series.Calendar("2020-01-01", "2020-01-05", "day")
+    got = rows(series.complete_series(df, ["k"], "d", calendar, ["n"]))
+    extra = {"a": [(date(2019, 1, 1), 1), (date(2021, 1, 1), 3)],
+             "b": [(date(2018, 5, 5), 4)], "c": [(date(2030, 5, 5), 5)]}
+    wanted = [
+        (k, date(2020, 1, d), 2 if (k, d) == ("a", 3) else 0) for k in "abc" for d in range(1, 6)
+    ] + [(k, d, n) for k, more in extra.items() for d, n in more]
+    assert got == sorted(wanted, key=str)
+
+
 def test_running_sum_puts_undated_last(spark):
     df = spark.createDataFrame(
         [("a", None, 4), ("a", date(2020, 1, 2), 2), ("a", date(2020, 1, 1), 1)],
