@@ -225,7 +225,7 @@ def coverage_snapshot(
         "population",
         "pct",
     )
-    return regions.join(figures, "region", "left")
+    return join_per_key(regions, figures, ["region"], "left")
 
 
 def earliest_doses(

@@ -23,6 +23,12 @@ class Calendar:
     end: str
     step: str = "month"
 
+    def __post_init__(self) -> None:
+        if self.step not in ("day", "month"):
+            raise ValueError(f"unknown step {self.step}")
+        if self.step == "month" and not self.start.endswith("-01"):
+            raise ValueError("a monthly calendar starts on the first of a month")
+
     @property
     def first(self) -> Column:
         return F.lit(self.start).cast("date")

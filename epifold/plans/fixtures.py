@@ -84,22 +84,22 @@ SELECT o_custkey * 100 + CAST(month(o_orderdate) AS INT) AS case_id,
             WHEN '3-MEDIUM' THEN 'c_other' WHEN '4-NOT SPECIFIED' THEN 'c_none' END AS condition,
        CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS death_date
 FROM {orders}""",
-    # One closed rectangle per region.
+    # Regions of many closed rectangles, as many rings as there are customers.
     "r_polygons": """
-SELECT n_name AS region, 1 AS ring, v.idx AS idx,
-       CAST(n_nationkey AS DOUBLE) + v.dx * (1 + n_nationkey % 3) AS x,
-       CAST(n_regionkey AS DOUBLE) + v.dy * (1 + n_nationkey % 2) AS y
-FROM {nation} CROSS JOIN
+SELECT concat('NATION_', CAST(c_nationkey AS STRING)) AS region, c_custkey AS ring, v.idx AS idx,
+       CAST(c_nationkey AS DOUBLE) + v.dx * (1 + c_custkey % 3) AS x,
+       CAST(c_custkey % 50 AS DOUBLE) + v.dy * (1 + c_custkey % 2) AS y
+FROM {customer} CROSS JOIN
      (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS v(idx, dx, dy)""",
 }
 
-# The same role without a join: the corners are written out of each region's row.
+# The same role without a join: the corners are written out of each ring's row.
 SPARK_VIEWS = {
     "r_polygons": """
-SELECT n_name AS region, 1 AS ring, v.idx AS idx,
-       CAST(n_nationkey AS DOUBLE) + v.dx * (1 + n_nationkey % 3) AS x,
-       CAST(n_regionkey AS DOUBLE) + v.dy * (1 + n_nationkey % 2) AS y
-FROM {nation} LATERAL VIEW inline(array(struct(0, 0, 0), struct(1, 1, 0), struct(2, 1, 1),
+SELECT concat('NATION_', CAST(c_nationkey AS STRING)) AS region, c_custkey AS ring, v.idx AS idx,
+       CAST(c_nationkey AS DOUBLE) + v.dx * (1 + c_custkey % 3) AS x,
+       CAST(c_custkey % 50 AS DOUBLE) + v.dy * (1 + c_custkey % 2) AS y
+FROM {customer} LATERAL VIEW inline(array(struct(0, 0, 0), struct(1, 1, 0), struct(2, 1, 1),
      struct(3, 0, 1), struct(4, 0, 0))) v AS idx, dx, dy""",
 }
 

@@ -152,9 +152,12 @@ def _(spark, sf_dir):
     "SRC-6",
     "JOIN-9",
     sql="""
-SELECT region, round((min(x) + max(x)) / 2, 6) AS x, round((min(y) + max(y)) / 2, 6) AS y,
-       round((max(x) - min(x)) * (max(y) - min(y)), 6) AS area
-FROM r_polygons GROUP BY region""",
+SELECT region, round(sum(cx * a) / sum(a), 6) AS x, round(sum(cy * a) / sum(a), 6) AS y,
+       round(sum(a), 6) AS area
+FROM (SELECT region, ring, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy,
+             (max(x) - min(x)) * (max(y) - min(y)) AS a
+      FROM r_polygons GROUP BY 1, 2) t
+GROUP BY region""",
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "polygons")
@@ -514,7 +517,7 @@ def _(spark, sf_dir):
     "join5_regions_left",
     "JOIN-5",
     sql="""
-SELECT r.region, r.idx, q.n
+SELECT r.region, r.ring, r.idx, q.n
 FROM r_polygons r LEFT JOIN (SELECT province, CAST(sum(n) AS BIGINT) AS n FROM r_population
                              WHERE band5 = '0 a 4' GROUP BY 1) q ON r.region = q.province""",
 )
@@ -525,8 +528,8 @@ def _(spark, sf_dir):
         .groupBy(F.col("province").alias("region"))
         .agg(F.sum("n").alias("n"))
     )
-    vertices = X.view(spark, sf_dir, "r_polygons").select("region", "idx")
-    return vertices.join(people, "region", "left")
+    vertices = X.view(spark, sf_dir, "r_polygons").select("region", "ring", "idx")
+    return join_per_key(vertices, people, ["region"], "left")
 
 
 @query(

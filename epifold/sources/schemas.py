@@ -69,7 +69,7 @@ DEATH_REGISTER = _struct(
     ("grupo_edad", _S),
     ("cantidad", _I),
 )
-POLYGONS = _struct(("region", _S), ("ring", _I), ("idx", _I), ("x", _D), ("y", _D))
+POLYGONS = _struct(("region", _S), ("ring", T.LongType()), ("idx", _I), ("x", _D), ("y", _D))
 
 # Source column -> column name used by the operators.
 CASE_NAMES = {
