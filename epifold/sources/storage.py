@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def names_folder(spark: SparkSession) -> str | None:
+    """The folder all executors can reach, if the session names one."""
+    return (
+        spark.conf.get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getCheckpointDir()
+    )
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only a session that names none, as in a test, gets a local one.
+    A session that names none is refused: a folder made here would be local to
+    one machine.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = names_folder(spark)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="epifold-")
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
