@@ -6,7 +6,7 @@ from importlib import import_module
 
 from epifold.llm import registry
 
-MODULES = ("q_minhash", "q_suffix")
+MODULES = ("q_minhash", "q_suffix", "q_pieces")
 
 
 def load() -> tuple[dict[str, registry.Build], dict[str, str]]:
