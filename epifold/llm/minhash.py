@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epifold.llm import words
@@ -32,9 +32,10 @@ CHUNKS = 16
 ERRORS = 1
 #: All pairs of signatures that differ in at most so many places share a key.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Pairs that differ in more places are not looked at again: over six standard
-#: deviations above what a similarity of 0.8 gives.
-FAR = 44
+#: Longs of the parity sketch: bit b says whether the set has an odd number of
+#: items that hash to b. Two sketches differ in at most as many bits as the sets
+#: have items that are in one of them only, so it rules out pairs without error.
+SKETCH = 16
 #: Rounds of comparisons with one row of each key before the rest is listed.
 PIVOT_ROUNDS = 3
 
@@ -84,6 +85,19 @@ def signatures_of(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (out >> np.uint32(4)).astype(np.uint16)
 
 
+def sketches_of(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The parity sketch of each set, a row of longs per set."""
+    bits, rows = SKETCH * 64, len(offsets) - 1
+    out = np.empty((rows, SKETCH), np.int64)
+    for i in range(0, rows, 256):
+        j = min(rows, i + 256)
+        row = words.owners(offsets[i : j + 1] - offsets[i])
+        place = (value[offsets[i] : offsets[j]] >> np.uint64(20)) & np.uint64(bits - 1)
+        count = np.bincount(row * bits + place.astype(np.int64), minlength=(j - i) * bits)
+        out[i:j] = np.packbits((count & 1).astype(bool).reshape(j - i, bits), axis=1).view(np.int64)
+    return out
+
+
 def keys_of(signature: np.ndarray) -> np.ndarray:
     """One hashed key for every chunk and choice of left-out places."""
     wide = signature.astype(np.uint64)
@@ -98,11 +112,11 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-SETS = "doc_id long, n_shingles long, digest binary, signature binary"
+SETS = "doc_id long, n_shingles long, digest binary, signature binary, sketch array<long>"
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per document the set's size, its 128-bit digest and its signature."""
+    """Per document the set's size, its 128-bit digest, its signature and its sketch."""
 
     def run(batches):
         for batch in batches:
@@ -122,8 +136,9 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                         pa.array(counts),
                         words.binary(digest.view(np.uint8).ravel(), np.arange(j - i + 1) * 16),
                         words.binary(signature.view(np.uint8).ravel(), np.arange(j - i + 1) * 2 * POSITIONS),
+                        words.longs(sketches_of(value, bounds).ravel(), np.arange(j - i + 1) * SKETCH),
                     ],
-                    ["doc_id", "n_shingles", "digest", "signature"],
+                    ["doc_id", "n_shingles", "digest", "signature", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
@@ -148,22 +163,22 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "rep long, key long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures are not far apart."""
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches allow the two sets (columns ``n`` and ``sketch``) to be similar."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = reduce(
+        Column.__add__, [F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)]
+    )
+    # J >= p/100 means that at most (100 - p) / (100 + p) of all items are in one set only.
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("x", "y")
-            )
-            near = (x != y).sum(1) <= FAR
-            yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
-    right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their sizes and sketches do not rule out."""
+    known = F.struct("n", "sketch")
+    left = classes.select(F.col("rep").alias("a"), known.alias("x"))
+    right = classes.select(F.col("rep").alias("b"), known.alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(_possible("x", "y", percent)).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -200,7 +215,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     member of the search. In every key the members are first compared with one
     member, then, where they are not yet in one component, with another one
     drawn for the key; what still lies in different components of a key is
-    listed pair by pair, so that no pair that shares a key goes untested.
+    listed pair by pair, so that no pair that shares a key goes untested. Pairs are
+    ruled out by sizes and sketches, which is free of error, before full sets are
+    compared.
     """
     spark = docs.sparkSession
 
@@ -212,7 +229,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     known = stored(sets(docs, size), "sets")
     usable = known.where("doc_id is not null and n_shingles > 0")
     classes = stored(
-        usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes"
+        usable.groupBy("digest").agg(
+            F.min("doc_id").alias("rep"),
+            F.first("signature").alias("signature"),
+            F.first("n_shingles").alias("n"),
+            F.first("sketch").alias("sketch"),
+        ),
+        "classes",
     )
     in_key = Window.partitionBy("key")
     shared = stored(
@@ -232,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"pairs{turn}")
-        linked.append(stored(_confirmed(_near(pairs, classes), full, percent), f"links{turn}"))
+        linked.append(stored(_confirmed(_near(pairs, classes, percent), full, percent), f"links{turn}"))
         component = components(reduce(DataFrame.union, linked[1:]))
         if turn == PIVOT_ROUNDS:
             break
@@ -255,10 +278,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 .distinct()
             )
         else:
-            other = apart.select("key", F.col("rep").alias("other"), F.col("component").alias("beside"))
+            sketched = apart.join(classes.select("rep", F.struct("n", "sketch").alias("x")), "rep")
+            other = sketched.select("key", F.col("rep").alias("other"), F.col("component").alias("beside"), F.col("x").alias("y"))
             pairs = (
-                apart.join(other, "key")
-                .where("component < beside")
+                sketched.join(other, "key")
+                .where((F.col("component") < F.col("beside")) & _possible("x", "y", percent))
                 .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
                 .distinct()
             )
