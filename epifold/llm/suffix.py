@@ -285,7 +285,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     base = keyed.select("k1", "k2", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
 
     anchors = stored(_anchors(keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text"), length, gram), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join deals both sides anew and a hot anchor can be split.
+    repeated = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated")
     # Rows that are equal in all are one row here; they find each other by their count.
     hits = (
         anchors.join(repeated, "anchor", "left_semi")
@@ -313,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
         F.lit(length - gram + 1).cast("long").alias("to"),
     )
     while True:
-        sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = stored(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{len(cuts)}")
         few = groups.join(sizes.where(F.col("n") <= many).select("key"), "key", "left_semi")
         found_runs[-1] = found_runs[-1].union(stored(_repeats(few, length), f"runs{len(cuts)}"))
         large = sizes.where(F.col("n") > many).select("key")
