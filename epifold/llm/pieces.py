@@ -32,7 +32,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
 #: Parts whose pieces a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Characters up to which pairs are scanned instead of queued.
 SHORT = 64
 
@@ -126,12 +126,13 @@ class Model:
                 self.surface[i] = trainer.unk_surface.encode()
         for value, i in self.byte_ids.items():
             self.surface[i] = bytes([value])
+        self.covers = np.array([len(x) for x in self.surface], np.int32)
         self.control = {i for i, k in enumerate(kinds) if k == CONTROL}
         inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         known = {c for p in self.ids for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in known and chr(c) != " ")
         # Without a piece that holds a blank after a letter, parts are independent.
-        self.parts = None if inner else re.compile(f"[ {BLANK}]*[^ {BLANK}{alone}]+|[ {BLANK}]+" + (f"|[{alone}]" if alone else ""))
+        self.parts = None if inner else re.compile(f" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
         self.plain = not self.map.units and not self.squeeze and self.parts is not None and self.fallback
         self.memory = Memory(self._part)
 
@@ -164,7 +165,7 @@ class Model:
     def merge(self, chars: list[str]) -> list[int]:
         """Lengths, in characters, of the pieces: pairs are merged by score, then from the left."""
         if len(chars) <= SHORT:
-            return self._merge_short(chars)
+            return [len(p) for p in self._merge_short(list(chars))]
         n = len(chars)
         part = list(chars)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -190,9 +191,9 @@ class Model:
             offer(left)
         return [len(p) for p in part if p]
 
-    def _merge_short(self, chars: list[str]) -> list[int]:
-        """The same for a few characters, by scanning the pairs."""
-        part, rank, none = list(chars), self.ranks.get, self.worst
+    def _merge_short(self, part: list[str]) -> list[str]:
+        """The pieces of a few characters, by scanning the pairs; the list is used up."""
+        rank, none = self.ranks.get, self.worst
         order = [rank(a + b, none) for a, b in zip(part, part[1:])]
         while order:
             best = min(order)
@@ -205,7 +206,7 @@ class Model:
                 order[i - 1] = rank(part[i - 1] + part[i], none)
             if i < len(order):
                 order[i] = rank(part[i] + part[i + 1], none)
-        return [len(p) for p in part]
+        return part
 
     def encode_chars(self, chars: list[str], starts: list[int], stops: list[int]) -> tuple[list[int], list[int], list[int]]:
         ids, first, last, at = [], [], [], 0
@@ -235,24 +236,22 @@ class Model:
         return ids, first, last
 
     def _part(self, part: str) -> bytes:
-        """Id and covered bytes of each piece of a part, as 32-bit numbers."""
+        """Ids of a part as 32-bit numbers."""
         chars = list(part.replace(" ", BLANK))
-        if part.isascii():
-            sizes = self.merge(chars)
-            known, at, out = self.ids.get, 0, []
+        if len(chars) <= SHORT:
+            pieces = self._merge_short(chars)
+        else:
+            stops = list(accumulate(self.merge(chars)))
             joined = "".join(chars)
-            for size in sizes:
-                i = known(joined[at : at + size])
-                out += (self.byte_ids[ord(part[at])] if i is None and self.fallback else self.unknown if i is None else i, size)
-                at += size
-            return array("i", out).tobytes()
-        stops = list(accumulate(len(c.encode("utf-8", "surrogatepass")) for c in part))
-        ids, first, last = self.encode_chars(chars, [0, *stops[:-1]], stops)
-        return array("i", [x for i, a, b in zip(ids, first, last) for x in (i, b - a)]).tobytes()
+            pieces = [joined[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+        out = list(map(self.ids.get, pieces))
+        if None in out:
+            out = [x for p, i in zip(pieces, out) for x in ([i] if i is not None else [self.byte_ids[b] for b in p.encode()])]
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first and last byte of each piece, with the begin and end ids."""
-        if not self.plain:
+        if not self.plain or BLANK in text:
             chars, starts, stops = self.normalise(text)
             ids, first, last = self.encode_chars(chars, starts, stops)
             size = len(text.encode("utf-8", "surrogatepass"))
@@ -264,13 +263,13 @@ class Model:
         parts = self.parts.findall(text)
         if parts and self.prefix:
             parts[0] = " " + parts[0]
-        pairs = np.frombuffer(self.memory.join(parts), np.int32).reshape(-1, 2)
-        ids = np.empty(len(pairs) + 2, np.int32)
-        ids[0], ids[1:-1], ids[-1] = self.begin, pairs[:, 0], self.end
+        found = np.frombuffer(self.memory.join(parts), np.int32)
+        ids = np.empty(len(found) + 2, np.int32)
+        ids[0], ids[1:-1], ids[-1] = self.begin, found, self.end
+        # A piece covers the bytes of its surface, the added blank none.
         last = np.zeros(len(ids), np.int32)
-        np.cumsum(pairs[:, 1], out=last[1:-1])
+        np.cumsum(self.covers[found], out=last[1:-1])
         if parts and self.prefix:
-            # The added blank covers no byte.
             last[1:-1] -= 1
         last[-1] = last[-2]
         first = np.zeros(len(ids), np.int32)
