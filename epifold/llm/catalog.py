@@ -6,7 +6,7 @@ from importlib import import_module
 
 from epifold.llm import registry
 
-MODULES = ("q_minhash", "q_suffix", "q_pieces", "q_toxicity", "q_language")
+MODULES = ("q_minhash", "q_suffix", "q_pieces", "q_toxicity", "q_language", "q_quality")
 
 
 def load() -> tuple[dict[str, registry.Build], dict[str, str]]:
