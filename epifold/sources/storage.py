@@ -61,3 +61,41 @@ def materialise_once(df: DataFrame, path: str) -> DataFrame:
     if not is_complete(spark, path):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder of the shared storage."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables that one job writes to the shared folder and removes when it is done.
+
+    A result that outlives the job is written with ``keep``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.root = scratch_path(spark, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.root)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        return self._written(df, f"{self.root}/{name}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self._written(df, scratch_path(self.spark, self.name))
+
+    def drop(self, name: str) -> None:
+        """Remove a table before the job ends."""
+        remove(self.spark, f"{self.root}/{name}")
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
