@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from epifold.llm import words
 from epifold.llm.graph import components
-from epifold.sources.storage import scratch_path
+from epifold.sources.storage import Scratch
 
 POSITIONS = 96
 CHUNKS = 16
@@ -219,77 +219,71 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ruled out by sizes and sketches, which is free of error, before full sets are
     compared.
     """
-    spark = docs.sparkSession
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"minhash-{name}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    known = stored(sets(docs, size), "sets")
-    usable = known.where("doc_id is not null and n_shingles > 0")
-    classes = stored(
-        usable.groupBy("digest").agg(
-            F.min("doc_id").alias("rep"),
-            F.first("signature").alias("signature"),
-            F.first("n_shingles").alias("n"),
-            F.first("sketch").alias("sketch"),
-        ),
-        "classes",
-    )
-    in_key = Window.partitionBy("key")
-    shared = stored(
-        _keys(classes)
-        .withColumn("low", F.min("rep").over(in_key))
-        .withColumn("high", F.max("rep").over(in_key))
-        .where("low < high")
-        .select("key", "rep", "low"),
-        "keys",
-    )
-    full = stored(_full_sets(docs, shared.select("rep").distinct(), size), "full")
-    # Rows that share a doc_id are one document, whatever their texts.
-    linked = [usable.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
-    tested = None
-    pairs = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    for turn in range(PIVOT_ROUNDS + 1):
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"pairs{turn}")
-        linked.append(stored(_confirmed(_near(pairs, classes, percent), full, percent), f"links{turn}"))
-        component = components(reduce(DataFrame.union, linked[1:]))
-        if turn == PIVOT_ROUNDS:
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        placed = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("component")
+    with Scratch(docs.sparkSession, "minhash") as scratch:
+        known = scratch.store(sets(docs, size), "sets")
+        usable = known.where("doc_id is not null and n_shingles > 0")
+        classes = scratch.store(
+            usable.groupBy("digest").agg(
+                F.min("doc_id").alias("rep"),
+                F.first("signature").alias("signature"),
+                F.first("n_shingles").alias("n"),
+                F.first("sketch").alias("sketch"),
+            ),
+            "classes",
         )
-        apart = (
-            placed.withColumn("low", F.min("component").over(in_key))
-            .withColumn("high", F.max("component").over(in_key))
+        in_key = Window.partitionBy("key")
+        shared = scratch.store(
+            _keys(classes)
+            .withColumn("low", F.min("rep").over(in_key))
+            .withColumn("high", F.max("rep").over(in_key))
             .where("low < high")
-            .select("key", "rep", "component")
+            .select("key", "rep", "low"),
+            "keys",
         )
-        if turn < PIVOT_ROUNDS - 1:
-            drawn = F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("draw"), "rep", "component")).over(in_key)
-            pairs = (
-                apart.withColumn("pivot", drawn)
-                .where("component <> pivot.component")
-                .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-                .distinct()
+        full = scratch.store(_full_sets(docs, shared.select("rep").distinct(), size), "full")
+        # Rows that share a doc_id are one document, whatever their texts.
+        linked = [usable.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
+        tested = None
+        pairs = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+        for turn in range(PIVOT_ROUNDS + 1):
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = scratch.store(pairs, f"pairs{turn}")
+            linked.append(scratch.store(_confirmed(_near(pairs, classes, percent), full, percent), f"links{turn}"))
+            component = components(reduce(DataFrame.union, linked[1:]))
+            if turn == PIVOT_ROUNDS:
+                break
+            tested = pairs if tested is None else tested.union(pairs)
+            placed = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
+                "key", "rep", F.coalesce("component", "rep").alias("component")
             )
-        else:
-            sketched = apart.join(classes.select("rep", F.struct("n", "sketch").alias("x")), "rep")
-            other = sketched.select("key", F.col("rep").alias("other"), F.col("component").alias("beside"), F.col("x").alias("y"))
-            pairs = (
-                sketched.join(other, "key")
-                .where((F.col("component") < F.col("beside")) & _possible("x", "y", percent))
-                .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-                .distinct()
+            apart = (
+                placed.withColumn("low", F.min("component").over(in_key))
+                .withColumn("high", F.max("component").over(in_key))
+                .where("low < high")
+                .select("key", "rep", "component")
             )
-        shared = apart.select("key", "rep")
-    component = components(reduce(DataFrame.union, linked))
-    return (
-        known.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component_id", F.coalesce("component", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("kept"))
-    )
+            if turn < PIVOT_ROUNDS - 1:
+                drawn = F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("draw"), "rep", "component")).over(in_key)
+                pairs = (
+                    apart.withColumn("pivot", drawn)
+                    .where("component <> pivot.component")
+                    .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
+                    .distinct()
+                )
+            else:
+                sketched = apart.join(classes.select("rep", F.struct("n", "sketch").alias("x")), "rep")
+                other = sketched.select("key", F.col("rep").alias("other"), F.col("component").alias("beside"), F.col("x").alias("y"))
+                pairs = (
+                    sketched.join(other, "key")
+                    .where((F.col("component") < F.col("beside")) & _possible("x", "y", percent))
+                    .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+                    .distinct()
+                )
+            shared = apart.select("key", "rep")
+        component = components(reduce(DataFrame.union, linked))
+        return scratch.keep(
+            known.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            .withColumn("component_id", F.coalesce("component", "doc_id"))
+            .select("doc_id", "n_shingles", "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("kept"))
+        )

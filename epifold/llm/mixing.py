@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epifold.sources.storage import scratch_path
+from epifold.sources.storage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -167,76 +167,63 @@ def mix(docs: DataFrame, block_words: int | None = BLOCK_WORDS, shard_blocks: in
     position, doc_id, print, copy, block, pass, words), one row per drawn block.
     With ``block_words`` None a block is a whole text.
     """
-    spark = docs.sparkSession
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"mix-{name}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    rows = stored(rows_of(docs), "rows")
-    plan = stored(targets(rows, block_words).withColumn("key", _none("source")), "plan")
-    whole = rows.withColumn("key", _none("source"))
-    known = whole.join(plan.drop("source"), "key").drop("key")
-    per_text = F.lit(1) if block_words is None else F.ceil(F.col("size") / block_words).cast("int")
-    number = F.explode(F.when(per_text > 0, F.sequence(F.lit(0), per_text - 1)))
-    blocks = whole.select("key", "doc_id", "print", "copy", "size", number.alias("block"))
-    words = F.col("size") if block_words is None else F.least(F.lit(block_words), F.col("size") - block_words * F.col("block")).cast("long")
-    place = _digest(F.lit(SEED), F.col("doc_id"), F.col("print"), F.col("copy"), F.col("block"))
-    blocks = blocks.withColumns({"words": words, "place": place}).drop("size")
-    # The digest's range is cut into as many buckets as the source has blocks for.
-    buckets = plan.select("key", F.ceil(F.col("blocks") / BUCKET).cast("long").alias("buckets"))
-    blocks = stored(
-        blocks.join(buckets, "key").withColumn("bucket", F.floor(F.col("place") / F.lit(float(SPACE)) * F.col("buckets")).cast("long")).drop("buckets"),
-        "blocks",
-    )
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocks.groupBy("key", "bucket").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
-    sums = sums.select("key", "bucket", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before"))
-    inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "print", "copy", "block")
-    running = blocks.withColumns(
-        {
-            "run_words": F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"),
-            "run_rank": F.row_number().over(inside) - 1,
-        }
-    ).join(sums, ["key", "bucket"])
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    passes = plan.select("key", "blocks", full.alias("passes"), (F.col("target") - full * F.col("source_size")).alias("rest"))
-    ranked = running.join(passes, "key").withColumn("rank", F.col("rank_before") + F.col("run_rank"))
-    extra = (F.col("words_before") + F.col("run_words") + F.col("words") / 2 <= F.col("rest")) & (F.col("rest") > 0)
-    ranked = stored(
-        ranked.select("key", "doc_id", "print", "copy", "block", "words", "rank", "blocks", "passes", (F.col("passes") + extra.cast("long")).alias("times")),
-        "ranked",
-    )
-    quotas = stored(ranked.groupBy("key").agg(F.sum("times").alias("n")).where("n > 0").withColumnRenamed("key", "source"), "quotas")
-    total = quotas.agg(F.sum("n")).first()[0] or 0
-    depth = max(0, (-(-total // shard_blocks) - 1).bit_length())
-    shards = split(quotas, depth)
-    # A shard's range of a source, listed in every cell of equal width that it meets.
-    upto = Window.partitionBy("source").orderBy("shard")
-    high = F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranges = shards.withColumn("high", high).withColumn("low", F.col("high") - F.col("n")).where("n > 0")
-    ranges = ranges.join(quotas.withColumnRenamed("n", "quota"), "source")
-    width = F.greatest(F.lit(1), F.ceil(F.col("quota") / F.lit(2**depth))).cast("long")
-    cells = F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width)))
-    ranges = stored(ranges.select(F.col("source").alias("key"), "shard", "low", "high", width.alias("width"), cells.alias("cell")), "ranges")
-    widths = ranges.select("key", "width").distinct()
-    pass_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))
-    drawn = ranked.where("times > 0").select("key", "doc_id", "print", "copy", "block", "words", "rank", "blocks", pass_.alias("pass"))
-    drawn = drawn.withColumn("index", F.col("pass") * F.col("blocks") + F.col("rank")).join(widths, "key").withColumn("cell", F.floor(F.col("index") / F.col("width")))
-    placed = drawn.join(ranges.drop("width"), ["key", "cell"]).where("low <= index and index < high")
-    order = _digest(F.lit(SEED), F.lit("local"), F.col("doc_id"), F.col("print"), F.col("copy"), F.col("block"), F.col("pass"))
-    local = Window.partitionBy("shard").orderBy("order", "doc_id", "print", "copy", "block", "pass")
-    mixture = placed.withColumn("order", order).select(
-        "shard", (F.row_number().over(local) - 1).alias("position"), "doc_id", "print", "copy", "block", "pass", "words"
-    )
-    return known.select("doc_id", "print", "copy", "source", "size", "source_size", "target"), mixture
-
+    with Scratch(docs.sparkSession, "mix") as scratch:
+        rows = scratch.store(rows_of(docs), "rows")
+        plan = scratch.store(targets(rows, block_words).withColumn("key", _none("source")), "plan")
+        whole = rows.withColumn("key", _none("source"))
+        known = whole.join(plan.drop("source"), "key").drop("key")
+        per_text = F.lit(1) if block_words is None else F.ceil(F.col("size") / block_words).cast("int")
+        number = F.explode(F.when(per_text > 0, F.sequence(F.lit(0), per_text - 1)))
+        blocks = whole.select("key", "doc_id", "print", "copy", "size", number.alias("block"))
+        words = F.col("size") if block_words is None else F.least(F.lit(block_words), F.col("size") - block_words * F.col("block")).cast("long")
+        place = _digest(F.lit(SEED), F.col("doc_id"), F.col("print"), F.col("copy"), F.col("block"))
+        blocks = blocks.withColumns({"words": words, "place": place}).drop("size")
+        # The digest's range is cut into as many buckets as the source has blocks for.
+        buckets = plan.select("key", F.ceil(F.col("blocks") / BUCKET).cast("long").alias("buckets"))
+        blocks = scratch.store(
+            blocks.join(buckets, "key").withColumn("bucket", F.floor(F.col("place") / F.lit(float(SPACE)) * F.col("buckets")).cast("long")).drop("buckets"),
+            "blocks",
+        )
+        before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = blocks.groupBy("key", "bucket").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
+        sums = sums.select("key", "bucket", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before"))
+        inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "print", "copy", "block")
+        running = blocks.withColumns(
+            {
+                "run_words": F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"),
+                "run_rank": F.row_number().over(inside) - 1,
+            }
+        ).join(sums, ["key", "bucket"])
+        full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+        passes = plan.select("key", "blocks", full.alias("passes"), (F.col("target") - full * F.col("source_size")).alias("rest"))
+        ranked = running.join(passes, "key").withColumn("rank", F.col("rank_before") + F.col("run_rank"))
+        extra = (F.col("words_before") + F.col("run_words") + F.col("words") / 2 <= F.col("rest")) & (F.col("rest") > 0)
+        ranked = scratch.store(
+            ranked.select("key", "doc_id", "print", "copy", "block", "words", "rank", "blocks", "passes", (F.col("passes") + extra.cast("long")).alias("times")),
+            "ranked",
+        )
+        quotas = scratch.store(ranked.groupBy("key").agg(F.sum("times").alias("n")).where("n > 0").withColumnRenamed("key", "source"), "quotas")
+        total = quotas.agg(F.sum("n")).first()[0] or 0
+        depth = max(0, (-(-total // shard_blocks) - 1).bit_length())
+        shards = split(quotas, depth)
+        # A shard's range of a source, listed in every cell of equal width that it meets.
+        upto = Window.partitionBy("source").orderBy("shard")
+        high = F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranges = shards.withColumn("high", high).withColumn("low", F.col("high") - F.col("n")).where("n > 0")
+        ranges = ranges.join(quotas.withColumnRenamed("n", "quota"), "source")
+        width = F.greatest(F.lit(1), F.ceil(F.col("quota") / F.lit(2**depth))).cast("long")
+        cells = F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width)))
+        ranges = scratch.store(ranges.select(F.col("source").alias("key"), "shard", "low", "high", width.alias("width"), cells.alias("cell")), "ranges")
+        widths = ranges.select("key", "width").distinct()
+        pass_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))
+        drawn = ranked.where("times > 0").select("key", "doc_id", "print", "copy", "block", "words", "rank", "blocks", pass_.alias("pass"))
+        drawn = drawn.withColumn("index", F.col("pass") * F.col("blocks") + F.col("rank")).join(widths, "key").withColumn("cell", F.floor(F.col("index") / F.col("width")))
+        placed = drawn.join(ranges.drop("width"), ["key", "cell"]).where("low <= index and index < high")
+        order = _digest(F.lit(SEED), F.lit("local"), F.col("doc_id"), F.col("print"), F.col("copy"), F.col("block"), F.col("pass"))
+        local = Window.partitionBy("shard").orderBy("order", "doc_id", "print", "copy", "block", "pass")
+        mixture = placed.withColumn("order", order).select(
+            "shard", (F.row_number().over(local) - 1).alias("position"), "doc_id", "print", "copy", "block", "pass", "words"
+        )
+        known = known.select("doc_id", "print", "copy", "source", "size", "source_size", "target")
+        return scratch.keep(known), scratch.keep(mixture)
 
-def same_row(a: str, b: str) -> Column:
-    """Join condition of rows told apart by (doc_id, print, copy)."""
-    return (
-        F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-        & (F.col(f"{a}.print") == F.col(f"{b}.print"))
-        & (F.col(f"{a}.copy") == F.col(f"{b}.copy"))
-    )

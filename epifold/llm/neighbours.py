@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from epifold.llm import words
 from epifold.llm.graph import components
 from epifold.llm.hnsw import Graph
-from epifold.sources.storage import scratch_path
+from epifold.sources.storage import Scratch
 
 SHARDS = 8
 #: Classes per shard beyond which there are more shards.
@@ -134,38 +134,32 @@ def _asked(queries: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int = SHARDS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``."""
-    spark = vectors.sparkSession
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"vectors-{name}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    v = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    classes = stored(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    known = classes.count()
-    count = max(shards, -(-known // SHARD_SIZE))
-    slices = max(1, -(-known // SLICE))
-    shard = F.pmod(F.xxhash64("rep", "v"), F.lit(count))
-    placed = classes.withColumn("part", F.concat_ws("/", F.size("v"), shard))
-    index = stored(_indexed(placed, threshold - SLACK), "index")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda s: F.concat_ws("/", F.size("v"), s))
-    queries = classes.select(
-        "rep", "v", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(slices)).alias("slice"), F.explode(parts).alias("part")
-    )
-    copies = index.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    answers = stored(_asked(queries, copies, threshold), "answers")
-    linked = answers.where("n is not null").groupBy(F.col("node").alias("rep")).agg(F.sum("n").alias("beyond"))
-    component = components(answers.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    of_class = (
-        classes.join(linked, "rep", "left")
-        .join(component.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("found"))
-    )
-    out = rows.withColumn("usable", F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    good = out.where("usable").join(of_class, "v").select("vec_id", F.col("links").alias("n_links"), F.col("found").alias("component_id"))
-    bad = out.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.union(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    with Scratch(vectors.sparkSession, "vectors") as scratch:
+        v = F.col("embedding").cast("array<double>")
+        rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+        finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        usable = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+        classes = scratch.store(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+        known = classes.count()
+        count = max(shards, -(-known // SHARD_SIZE))
+        slices = max(1, -(-known // SLICE))
+        shard = F.pmod(F.xxhash64("rep", "v"), F.lit(count))
+        placed = classes.withColumn("part", F.concat_ws("/", F.size("v"), shard))
+        index = scratch.store(_indexed(placed, threshold - SLACK), "index")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda s: F.concat_ws("/", F.size("v"), s))
+        queries = classes.select(
+            "rep", "v", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(slices)).alias("slice"), F.explode(parts).alias("part")
+        )
+        copies = index.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        answers = scratch.store(_asked(queries, copies, threshold), "answers")
+        linked = answers.where("n is not null").groupBy(F.col("node").alias("rep")).agg(F.sum("n").alias("beyond"))
+        component = components(answers.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        of_class = (
+            classes.join(linked, "rep", "left")
+            .join(component.withColumnRenamed("node", "rep"), "rep", "left")
+            .select("v", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("found"))
+        )
+        out = rows.withColumn("usable", F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+        good = out.where("usable").join(of_class, "v").select("vec_id", F.col("links").alias("n_links"), F.col("found").alias("component_id"))
+        bad = out.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return scratch.keep(good.union(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))

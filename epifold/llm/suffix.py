@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from epifold.llm import words
 from epifold.llm.bwt import repeated_starts
-from epifold.sources.storage import scratch_path
+from epifold.sources.storage import Scratch
 
 LENGTH = 400
 GRAM = 64
@@ -263,91 +263,119 @@ def _spans(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of ``docs``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with its text filled and the keys of its rows: the id and a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("text", text).withColumns(
+        {"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(SENTINEL)), "k2": F.xxhash64("text")}
+    )
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, kept_sha256, kept_text) of the texts that lose something.
 
-    With ``with_text`` also ``kept_text``: the remaining bytes, without those of
-    a character that was cut in two; NULL stands for a text that stays whole.
+    ``kept_text`` is what remains, without the bytes of a character that was cut
+    in two. The keys are those of ``_keyed``; equal rows are one row here.
     """
-    spark = docs.sparkSession
     if not 8 <= gram <= length:
         raise ValueError("gram must be at least 8 and at most the length")
+    keyed = _keyed(docs.select("doc_id", "text"))
+    with Scratch(docs.sparkSession, "suffix") as scratch:
+        long = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
+        anchors = scratch.store(_anchors(long, length, gram), "anchors")
+        # Stored, so that the join deals both sides anew and a hot anchor can be split.
+        repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+        repeated = scratch.store(repeated, "repeated")
+        # Rows that are equal in all have their hits twice here, and so find each other.
+        hits = (
+            anchors.join(repeated, "anchor", "left_semi")
+            .groupBy("k1", "k2")
+            .agg(F.collect_list(F.struct("anchor", "start", "count", "place")).alias("hits"))
+        )
+        copies = keyed.select("k1", "k2", "text").join(hits, ["k1", "k2"]).groupBy("k1", "k2")
+        found = scratch.store(copies.agg(F.first("text").alias("text"), F.first("hits").alias("hits")), "found")
+        scratch.drop("anchors")
+        fragments = scratch.store(_fragments(found, length), "fragments")
+        runs = _all_runs(scratch, fragments, length, gram, many)
+        spans = (
+            fragments.select("k1", "k2", F.col("digest").alias("id"), "start")
+            .join(runs, "id")
+            .select("k1", "k2", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("run"))
+            .groupBy("k1", "k2")
+            .agg(F.collect_list("run").alias("runs"))
+        )
+        return scratch.keep(_spans(found.select("k1", "k2", "text").join(spans, ["k1", "k2"]), length))
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"suffix-{name}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns(
-        {"k1": F.coalesce("doc_id", F.lit(SENTINEL)), "k2": F.xxhash64("text")}
-    )
-    base = keyed.select("k1", "k2", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-
-    anchors = stored(_anchors(keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text"), length, gram), "anchors")
-    # Stored, so that the join deals both sides anew and a hot anchor can be split.
-    repeated = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeated")
-    # Rows that are equal in all are one row here; they find each other by their count.
-    hits = (
-        anchors.join(repeated, "anchor", "left_semi")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("anchor", "start", "count", "place")).alias("hits"))
-    )
-    copies = keyed.select("k1", "k2", "text").join(hits, ["k1", "k2"]).groupBy("k1", "k2")
-    found = stored(copies.agg(F.first("text").alias("text"), F.first("hits").alias("hits")), "found")
-    fragments = stored(_fragments(found, length), "fragments")
-    named = ["anchor", "digest"]
-    classes = stored(
-        fragments.groupBy(*named).agg(
-            F.count(F.lit(1)).alias("weight"), F.first("piece").alias("piece"), F.first("count").alias("count"), F.first("place").alias("place")
+def _all_runs(scratch: Scratch, fragments: DataFrame, length: int, gram: int, many: int) -> DataFrame:
+    """(id, low, high): runs of repeated windows of the fragments, by the fragment's digest."""
+    classes = scratch.store(
+        fragments.groupBy("anchor", "digest").agg(
+            F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("piece", "count", "place"))
         ),
         "classes",
     )
-    whole = classes.where("weight > 1").select(F.col("digest").alias("id"), F.lit(0).cast("long").alias("low"), F.col("count").alias("high"))
-    found_runs, cuts = [whole], []
+    zero = F.lit(0).cast("long")
+    found = [classes.where("weight > 1").select(F.col("digest").alias("id"), zero.alias("low"), F.col("count").alias("high"))]
+    cuts: list[DataFrame] = []
     groups = classes.select(
         F.col("anchor").alias("key"),
         F.col("digest").alias("id"),
         "piece",
         "place",
-        F.lit(0).cast("long").alias("from"),
+        zero.alias("from"),
         F.lit(length - gram + 1).cast("long").alias("to"),
     )
     while True:
-        sizes = stored(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{len(cuts)}")
+        turn = len(cuts)
+        sizes = scratch.store(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{turn}")
         few = groups.join(sizes.where(F.col("n") <= many).select("key"), "key", "left_semi")
-        found_runs[-1] = found_runs[-1].union(stored(_repeats(few, length), f"runs{len(cuts)}"))
+        found[-1] = found[-1].union(scratch.store(_repeats(few, length), f"runs{turn}"))
         large = sizes.where(F.col("n") > many).select("key")
         if large.isEmpty():
             break
-        cuts.append(stored(_cut(groups.join(large, "key", "left_semi"), length), f"pieces{len(cuts)}"))
-        groups = stored(
+        cuts.append(scratch.store(_cut(groups.join(large, "key", "left_semi"), length), f"pieces{turn}"))
+        groups = scratch.store(
             cuts[-1].groupBy("key", "id").agg(
                 F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("piece", "place", "from", "to"))
             ),
-            f"groups{len(cuts)}",
+            f"groups{turn}",
         )
         windows = F.octet_length("piece").cast("long") - length + 1
-        found_runs.append(groups.where("weight > 1").select("id", F.lit(0).cast("long").alias("low"), windows.alias("high")))
-    runs = found_runs.pop()
+        found.append(groups.where("weight > 1").select("id", zero.alias("low"), windows.alias("high")))
+    runs = found.pop()
     while cuts:
+        # Runs of a part are runs of the piece that it was cut from.
         back = cuts.pop().select("id", "parent", "shift").join(runs, "id")
-        runs = found_runs.pop().union(
-            back.select(F.col("parent").alias("id"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
-        )
-    spans = (
-        fragments.select("k1", "k2", F.col("digest").alias("id"), "start")
-        .join(runs, "id")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("runs"))
+        moved = [(F.col(c) + F.col("shift")).alias(c) for c in ("low", "high")]
+        runs = found.pop().union(back.select(F.col("parent").alias("id"), *moved))
+    return runs
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of ``docs``."""
+    cut = repeats(docs, length, gram, many).drop("kept_text")
+    base = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
+        "k1", "k2", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")
     )
-    cut = _spans(found.select("k1", "k2", "text").join(spans, ["k1", "k2"]), length)
-    out = base.join(cut if with_text else cut.drop("kept_text"), ["k1", "k2"], "left")
-    return out.select(
+    zero = F.lit(0).cast("long")
+    return base.join(cut, ["k1", "k2"], "left").select(
         "doc_id",
         "n_bytes",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
-        *(["kept_text", "k1", "k2"] if with_text else []),
+    )
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """``docs`` with the remaining text in place of ``text``."""
+    cut = repeats(docs, length, gram, many).select("k1", "k2", "kept_text")
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), "doc_id", F.col("text").alias("text"))
+    joined = _keyed(own).join(cut, ["k1", "k2"], "left")
+    return joined.select(
+        *(
+            F.coalesce("kept_text", f"_{i}").alias(c) if c == "text" else F.col(f"_{i}").alias(c)
+            for i, c in enumerate(docs.columns)
+        )
     )
