@@ -1,13 +1,84 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again.
+
+Every stage keeps the columns of documents but the last, which returns digests
+of the encoded texts. A text that is repeated by the mixture is a row each time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from epifold.llm import minhash, mixing, suffix, toxicity
+from epifold.llm.q_pieces import model_path, round_trip
+from epifold.llm.q_toxicity import THRESHOLD
+from epifold.sources.storage import scratch_path
 
-from epifold.llm.minhash import near_duplicates
+SHINGLE_WORDS = 5
+SIMILARITY_PERCENT = 80
 
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the threshold; a NULL text stays."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.scored(docs, toxicity.train(docs, labels), "_toxicity")
+    return scored.where(F.col("_toxicity") < THRESHOLD).select(*_columns(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group; rows without ``doc_id`` stay, of rows with one id one stays."""
+    known = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    kept = known.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    chosen = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"))
+    first = F.row_number().over(Window.partitionBy("_kept").orderBy("text"))
+    one = chosen.withColumn("_first", first).where("_first = 1").select(*_columns(docs))
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of long passages that occur elsewhere too."""
+    cut = suffix.without_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, each as often as the mixture takes it."""
+    _, mixture = mixing.mix(docs, block_words=None)
+    times = mixture.groupBy("doc_id", "print", "copy").count().select("doc_id", "print", F.struct("copy", "count").alias("t"))
+    times = times.groupBy("doc_id", "print").agg(F.map_from_entries(F.collect_list("t")).alias("_times"))
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.withColumn("_print", key).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(suffix.SENTINEL)))
+    times = times.select(F.coalesce("doc_id", F.lit(suffix.SENTINEL)).alias("_id"), F.col("print").alias("_print"), "_times")
+    copy = F.row_number().over(Window.partitionBy("_id", "_print").orderBy(F.col("source").asc_nulls_last()))
+    drawn = rows.join(times, ["_id", "_print"]).withColumn("_n", F.element_at("_times", copy))
+    return drawn.where("_n > 0").withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*_columns(docs))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every row."""
+    return round_trip(docs, model_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_duplicates),
+    ("suffix", cut_repeats),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All stages over documents; every stage's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

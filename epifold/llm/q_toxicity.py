@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from epifold.llm.registry import query, table
-from epifold.llm.toxicity import held_out, score, train
+from epifold.llm.toxicity import held_out, scored, train
 
 THRESHOLD = 0.7
 
@@ -12,7 +12,8 @@ THRESHOLD = 0.7
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored(rows, model).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",

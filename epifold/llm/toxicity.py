@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epifold.llm import words
 
@@ -222,9 +223,10 @@ def train(
     return hashes, weight, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """(doc_id, score) per row; only the text enters the score."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score") -> DataFrame:
+    """``docs`` with a score; only the text enters it. A column of that name is replaced."""
     hashes, weight, bias = model
+    keep = [c for c in docs.columns if c != name]
 
     def run(batches):
         lookup = Lookup(hashes)
@@ -233,6 +235,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 row, place = lookup.distinct(*features_of(data, offsets))
                 total = np.bincount(row, weight[place], j - i) + bias
                 value = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(value)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), pa.array(value)], [*keep, name])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
