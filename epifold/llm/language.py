@@ -137,12 +137,13 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for batch in batches:
             tags = np.array(batch.column("lang").to_pylist(), object)
             for i, j, data, offsets in words.text_blocks(batch, "text"):
-                unit = _unit(profiles(letters, data, offsets))
+                # Whole numbers add up to the same in any order.
+                unit = np.rint(_unit(profiles(letters, data, offsets)) * 1e6).astype(np.int64)
                 for tag in set(tags[i:j]):
-                    total[tag] = total.get(tag, 0) + unit[tags[i:j] == tag].sum(0, dtype=np.float64)
+                    total[tag] = total.get(tag, 0) + unit[tags[i:j] == tag].sum(0)
         for tag, vector in total.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([tag] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(np.rint(vector * 1e6).astype(np.int64))],
+                [pa.array([tag] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(vector)],
                 ["lang", "place", "value"],
             )
 

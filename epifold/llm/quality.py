@@ -121,7 +121,7 @@ def measures(known: DataFrame) -> Column:
     """An array of (measure, value) for a row with the counts."""
     return F.array(
         *(
-            F.struct(F.lit(name).alias("measure"), F.floor(factor * F.col(count) / F.col("n_words")).cast("long").alias("value"))
+            F.struct(F.lit(name).alias("measure"), F.floor(factor * F.col(count) / F.greatest("n_words", F.lit(1))).cast("long").alias("value"))
             for name, (count, factor, _, _) in MEASURES.items()
         )
     )
@@ -197,7 +197,7 @@ def judge(docs: DataFrame) -> DataFrame:
     limits = thresholds(sketches(known)).select(F.col("lang").alias("l"), F.col("source").alias("s"), "*").drop("lang", "source")
     verdict = ~F.col("base_failed")
     for name, (count, factor, _, both) in MEASURES.items():
-        value = F.floor(factor * F.col(count) / F.col("n_words"))
+        value = F.floor(factor * F.col(count) / F.greatest("n_words", F.lit(1)))
         verdict = verdict & (value <= F.col(f"high_{name}"))
         if both:
             verdict = verdict & (value >= F.col(f"low_{name}"))

@@ -234,7 +234,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: s
             for i, j, data, offsets in words.text_blocks(batch, "text"):
                 row, place = lookup.distinct(*features_of(data, offsets))
                 total = np.bincount(row, weight[place], j - i) + bias
-                value = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+                value = np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -500, 500))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), pa.array(value)], [*keep, name])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])

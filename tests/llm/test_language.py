@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from epifold.llm import language
 
@@ -32,8 +33,6 @@ def test_held_out_texts_and_odd_rows(frame):
 
 
 def test_held_out_languages_teach_nothing(frame):
-    from pyspark.sql import functions as F
-
     docs = frame(docs_of(frame))
     wrong = docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     a, b = language.train(docs), language.train(wrong)
@@ -51,7 +50,7 @@ def test_empty_tables_and_no_teachers(frame):
 def test_sample_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language.predict(docs, *language.train(docs)).join(docs.select("doc_id", "lang"), "doc_id")
-    out = [r.lang == r.lang_pred for r in got.where(language.held_out(docs["doc_id"])).collect()]
+    out = [r.lang == r.lang_pred for r in got.where(language.held_out(F.col("doc_id"))).collect()]
     assert np.mean(out) > 0.98
 
 
