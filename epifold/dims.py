@@ -46,7 +46,6 @@ INCIDENCE_LABELS = {
 LABELLED_INCIDENCE = ("0 dose", "1+ doses", "2+ doses", "3+ doses")
 # Series without deaths, left out of the incidence table.
 EMPTY_INCIDENCE = (("0-2 years old", "1+ doses"), ("0-2 years old", "2+ doses"))
-VACCINATED_LABELS = ("Non vaccinated", "Vaccinated")
 
 # ---------------------------------------------------------------------------
 # Calendars (ISO dates) and corrections
@@ -79,12 +78,6 @@ MONTHS_ES = {
 # ---------------------------------------------------------------------------
 # Provinces and map regions
 # ---------------------------------------------------------------------------
-PROVINCES = (
-    "Buenos Aires", "Catamarca", "Chaco", "Chubut", "CABA", "Córdoba", "Corrientes",
-    "Entre Ríos", "Formosa", "Jujuy", "La Pampa", "La Rioja", "Mendoza", "Misiones",
-    "Neuquén", "Río Negro", "Salta", "San Juan", "San Luis", "Santa Cruz", "Santa Fe",
-    "Santiago del Estero", "Tierra del Fuego", "Tucumán",
-)
 REGION_NAMES = {
     "CABA": "Ciudad Autónoma de Buenos Aires",
     "Tierra del Fuego": "Tierra del Fuego, Antártida e Islas del Atlántico Sur",
@@ -246,7 +239,7 @@ FLAG_CONDITIONS = {
     "BRONQUIO_PREVIA": "Previous bronchiolitis",
 }
 # The spelling of the immunosuppression label follows FLAG_CONDITIONS, so that
-# both sources fall into one class; ROW_CONDITIONS_LITERAL keeps the variant.
+# both sources fall into one class.
 ROW_CONDITIONS = {
     "NOREPORTADO": "None reported",
     "Otras (especificar en observaciones)": "Other",
@@ -263,10 +256,6 @@ ROW_CONDITIONS = {
     "Tuberculosis": "Tuberculosis",
     "MULTIPLE": "Multiple comorbidities",
 }
-ROW_CONDITIONS_LITERAL = {
-    **ROW_CONDITIONS,
-    "Inmunosupresión congénita o adquirida": "Congenital or acquired immunosupression",
-}
 
 # ---------------------------------------------------------------------------
 # Intervention timeline (event, group, first day, last day)

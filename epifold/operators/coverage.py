@@ -48,10 +48,9 @@ def dose_rows(df: DataFrame, null_policy: str = "keep") -> DataFrame:
 def dose_counts(
     df: DataFrame, keys: Sequence[str] = ("age_group", "dose"), null_policy: str = "drop"
 ) -> DataFrame:
-    """Doses per key and month as ``n``."""
-    return (
-        dose_rows(df, null_policy).groupBy(*keys, "month").agg(F.sum("qty").cast("bigint").alias("n"))
-    )
+    """Doses per key and month as ``n``; unknown counts add nothing."""
+    total = F.coalesce(F.sum("qty"), F.lit(0)).cast("bigint")
+    return dose_rows(df, null_policy).groupBy(*keys, "month").agg(total.alias("n"))
 
 
 def _doses(condition: Column) -> Column:
@@ -140,12 +139,15 @@ def provincial_coverage(
     Age and dose are closed lists and become columns of the first aggregate,
     picked by a cell number that is looked up once per row;
     the calendar is filled per province, so the grid needs no join. Rows outside
-    the calendar or without a known month do not count.
+    the calendar or without a known month do not count. A dose that is not in
+    ``doses`` is an error.
     """
     pairs = [(a, d) for a in ages for d in doses]
     cells = {f"n{i}": pair for i, pair in enumerate(pairs)}
     row = recode("age_group", {a: i * len(doses) for i, a in enumerate(ages)})
-    cell = row + recode("dose", {d: i for i, d in enumerate(doses)})
+    unknown = F.raise_error(F.concat(F.lit("unknown dose "), F.col("dose"))).cast("int")
+    place = recode("dose", {d: i for i, d in enumerate(doses)})
+    cell = row + F.when(F.col("dose").isNull() | F.col("dose").isin(*doses), place).otherwise(unknown)
     counts = (
         dose_rows(df)
         .where(F.col("age_band").isin(*dims.DOSE_BANDS))

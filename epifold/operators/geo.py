@@ -5,42 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epifold.sources.literals import literal_table
 
 
 def polygon_centroids(
-    vertices: DataFrame, overrides: Sequence[tuple[str, float | None, float | None]] = ()
+    vertices: DataFrame,
+    overrides: Sequence[tuple[str, float | None, float | None]] = (),
+    moved: Sequence[tuple[float, float, float, float]] = (),
+    digits: int = 2,
 ) -> DataFrame:
     """Area centroid per region as ``region, x, y, area``.
 
     ``vertices`` has one row per vertex: ``region, ring, idx, x, y``, with
-    closed rings, consecutive ``idx`` and holes wound the other way round.
-    ``overrides`` lists (region, x, y), NULL leaving a coordinate as it is.
+    closed rings in the order of ``idx``, which may have gaps, and holes wound
+    the other way round. ``overrides`` lists (region, x, y), NULL leaving a
+    coordinate as it is; ``moved`` lists (x, y, new x, new y) for points that
+    are at (x, y) when rounded to ``digits``.
 
-    Each vertex is sent to the two edges it belongs to, and edges are summed
-    with partial aggregation; no task holds a whole ring.
+    A ring is sorted in one task, which spills; edges are summed with partial
+    aggregation.
     """
-    ends = vertices.select(
+    ring = W.partitionBy("region", "ring").orderBy("idx")
+    edges = vertices.select(
         "region",
-        "ring",
-        F.inline(
-            F.array(
-                F.struct(F.col("idx").alias("edge"), F.lit(True).alias("tail"), "x", "y"),
-                F.struct((F.col("idx") - 1).alias("edge"), F.lit(False).alias("tail"), "x", "y"),
-            )
-        ),
-    )
-    edges = ends.groupBy("region", "ring", "edge").agg(
-        *[
-            F.max(F.when(side, F.col(axis))).alias(f"{axis}{i}")
-            for i, side in enumerate((F.col("tail"), ~F.col("tail")))
-            for axis in ("x", "y")
-        ]
-    )
-    # The edge before the first vertex and the one after the last lack an end.
-    edges = edges.where(F.col("x0").isNotNull() & F.col("x1").isNotNull())
+        F.col("x").alias("x0"),
+        F.col("y").alias("y0"),
+        F.lead("x").over(ring).alias("x1"),
+        F.lead("y").over(ring).alias("y1"),
+    ).where(F.col("x1").isNotNull())
     cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
     sums = edges.groupBy("region").agg(
         F.sum(cross).alias("a2"),
@@ -53,6 +48,13 @@ def polygon_centroids(
         F.try_divide("sy", F.col("a2") * 3).alias("y"),
         F.abs(F.col("a2") / 2).alias("area"),
     )
+    if moved:
+        at = F.array(F.round("x", digits), F.round("y", digits))
+        for x, y, new_x, new_y in moved:
+            here = at == F.array(F.lit(float(x)), F.lit(float(y)))
+            points = points.withColumns(
+                {c: F.when(here, F.lit(float(v))).otherwise(F.col(c)) for c, v in (("x", new_x), ("y", new_y))}
+            )
     if not overrides:
         return points
     fixes = literal_table(

@@ -5,20 +5,41 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epifold import dims
 from epifold.functions import age_band, dose_class, month_start
 from epifold.operators.joins import join_per_key
 from epifold.operators.series import Calendar, complete_series, running_sums
+from epifold.sources.files import POSITION
 from epifold.sources.literals import literal_table
 from epifold.sources.storage import materialise_once
 
 
-def _union(a: DataFrame, b: DataFrame, names_a: Mapping, names_b: Mapping) -> DataFrame:
-    pick_a = a.select(*[F.col(c).alias(n) for c, n in names_a.items()])
-    pick_b = b.select(*[F.col(c).alias(n) for c, n in names_b.items()])
-    return pick_a.unionByName(pick_b)
+#: Bits of a row's number in its partition.
+ROW_BITS = 33
+
+
+def _union(a: DataFrame, b: DataFrame, names_a: Mapping, names_b: Mapping, more: Sequence[str]) -> DataFrame:
+    def pick(df, names, source):
+        own = [F.col(c).alias(n) for c, n in names.items()]
+        return df.select(*own, *more, F.lit(source).alias("_source"))
+
+    return pick(a, names_a, 0).unionByName(pick(b, names_b, 1))
+
+
+def _arrival(rows: DataFrame) -> DataFrame:
+    """Number rows by source, file, part of the file and row in the part.
+
+    Parts are ranked in one small table, a row per part read; the rows inside a
+    part are numbered by the read itself.
+    """
+    part = ["_source", "_file", "_block"]
+    ranks = rows.select(*part).distinct().withColumn("_rank", F.row_number().over(W.orderBy(*part)).cast("bigint"))
+    row = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    numbered = rows.join(ranks, part).withColumn("seq", F.shiftleft("_rank", ROW_BITS) + row)
+    return numbered.drop(*part, "_row", "_rank")
 
 
 def ingest_linelist(
@@ -32,16 +53,18 @@ def ingest_linelist(
     """Union two differently laid out line lists and write the result once.
 
     ``names_*`` map source columns to common names. ``seq`` records arrival:
-    the column named by ``order`` if the sources carry one, else the position
-    in the read, first source first. It is fixed by the write, and later reads
-    of the table see the same values.
+    the common column named by ``order``, else the position that
+    ``files.read_csv(position=True)`` gives: first source first, then by file
+    name and place in the file. Frames with neither are refused. It is fixed by
+    the write, and later reads of the table see the same values.
     """
-    both = _union(a, b, names_a, names_b or names_a)
-    if order is None:
-        both = both.withColumn("seq", F.monotonically_increasing_id())
-    elif order != "seq":
-        both = both.withColumnRenamed(order, "seq")
-    return materialise_once(both, path)
+    names_b = names_b or names_a
+    if order is not None:
+        both = _union(a, b, names_a, names_b, ()).drop("_source").withColumnRenamed(order, "seq")
+        return materialise_once(both, path)
+    if not all(c in df.columns for df in (a, b) for c in POSITION):
+        raise ValueError("the order of arrival is not known: name a column or read with position=True")
+    return materialise_once(_arrival(_union(a, b, names_a, names_b, POSITION)), path)
 
 
 def apply_overrides(
@@ -49,23 +72,32 @@ def apply_overrides(
     overrides: DataFrame | Sequence[tuple],
     key: str,
     col: str,
+    order: str | None = None,
 ) -> DataFrame:
-    """Overwrite one field for the listed keys.
+    """Overwrite one field for the listed keys; every row stays one row.
 
     A list of pairs becomes a literal table, broadcast because its length is
-    known. A DataFrame ``(key, col)`` with one row per key is joined as the
-    planner sees fit from its size.
+    known; of several pairs for a key the last one counts. A DataFrame
+    ``(key, col)`` is joined as the planner sees fit from its size; of several
+    rows for a key the one with the largest ``order`` counts, and without
+    ``order`` they are an error.
     """
     kinds = dict(df.dtypes)
     if isinstance(overrides, DataFrame):
-        fixes = overrides.where(F.col(key).isNotNull()).select(key, F.col(col).alias("_override"))
+        known = overrides.where(F.col(key).isNotNull())
+        if order is not None:
+            chosen = F.max_by(col, order)
+        else:
+            double = F.concat(F.lit("several corrections for "), F.col(key).cast("string"))
+            chosen = F.when(F.count(F.lit(1)) > 1, F.raise_error(double).cast(kinds[col])).otherwise(F.first(col))
+        fixes = known.groupBy(key).agg(chosen.alias("_override"))
         joined = join_per_key(df, fixes, [key], "left")
     else:
         key_kind = "string" if kinds[key] == "string" else "bigint"
         if key_kind == "bigint":
             overrides = [(int(k), v) for k, v in overrides]
         fixes = literal_table(
-            df.sparkSession, overrides, ((key, key_kind), ("_override", kinds[col]))
+            df.sparkSession, list(dict(overrides).items()), ((key, key_kind), ("_override", kinds[col]))
         )
         joined = df.join(fixes, key, "left")
     return joined.withColumn(col, F.coalesce("_override", col)).select(*df.columns)

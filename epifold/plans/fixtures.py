@@ -29,9 +29,10 @@ SELECT n.n_name AS province,
        CASE WHEN l.l_returnflag = 'A' THEN 'F' WHEN l.l_returnflag = 'R' THEN 'M' END AS sex,
        CAST(year(l.l_shipdate) AS INT) AS year,
        CASE WHEN month(l.l_shipdate) = 12 AND l.l_suppkey % 10 = 0 THEN 'S.I.' ELSE
-            rtrim(substr('Enero     Febrero   Marzo     Abril     Mayo      Junio     '
-                      || 'Julio     Agosto    SeptiembreOctubre   Noviembre Diciembre ',
-                         CAST(month(l.l_shipdate) AS INT) * 10 - 9, 10)) END AS month_es,
+            CASE month(l.l_shipdate) WHEN 1 THEN 'Enero' WHEN 2 THEN 'Febrero' WHEN 3 THEN 'Marzo'
+                 WHEN 4 THEN 'Abril' WHEN 5 THEN 'Mayo' WHEN 6 THEN 'Junio' WHEN 7 THEN 'Julio'
+                 WHEN 8 THEN 'Agosto' WHEN 9 THEN 'Septiembre' WHEN 10 THEN 'Octubre'
+                 WHEN 11 THEN 'Noviembre' ELSE 'Diciembre' END END AS month_es,
        CASE WHEN l.l_quantity < 10 THEN '0-2' WHEN l.l_quantity < 20 THEN '3-4'
             WHEN l.l_quantity < 30 THEN '5-11' WHEN l.l_quantity < 45 THEN '12-17' ELSE '18+' END
            AS age_band,

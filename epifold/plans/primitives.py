@@ -86,6 +86,21 @@ def _(spark, sf_dir):
     return read.withColumn("death_date", parse_dmy("death_date"))
 
 
+@query(
+    "src1_columns_by_name",
+    "SRC-1",
+    sql="SELECT case_id, age, open_date FROM r_linelist",
+)
+def _(spark, sf_dir):
+    # More columns than declared, in another order.
+    path = scratch_path(spark, "cases-wide")
+    rows = linelist_rows(spark, sf_dir)
+    rows.select("booster", "open_date", F.lit("x").alias("more"), "age", "death_date", "case_id").write.option(
+        "header", True
+    ).option("emptyValue", "").csv(path)
+    return files.read_csv(spark, path, rows.select("case_id", "age", "open_date").schema)
+
+
 @query(
     "src2_gzip_csv",
     "SRC-2",
@@ -420,6 +435,22 @@ def _(spark, sf_dir):
     return linelist.apply_overrides(target, fixes, "case_id", "death_date")
 
 
+@query(
+    "upd1_last_correction",
+    "UPD-1",
+    sql="""
+SELECT r.case_id, r.seq, coalesce(c.last, r.death_date) AS death_date FROM r_linelist r LEFT JOIN (
+  SELECT case_id, max_by(open_date, seq) AS last FROM r_linelist WHERE case_id % 3 = 0 AND open_date IS NOT NULL GROUP BY case_id
+) c ON r.case_id = c.case_id""",
+)
+def _(spark, sf_dir):
+    # Several corrections per case, the last one counts; no row is doubled.
+    rows = linelist_rows(spark, sf_dir)
+    known = rows.where((F.col("case_id") % 3 == 0) & F.col("open_date").isNotNull())
+    fixes = known.select("case_id", F.col("open_date").alias("death_date"), "seq")
+    return linelist.apply_overrides(rows, fixes, "case_id", "death_date", order="seq").select("case_id", "seq", "death_date")
+
+
 @query(
     "upd2_value_replacement",
     "UPD-2",
@@ -543,19 +574,13 @@ CROSS JOIN (SELECT DISTINCT age_group FROM province_counts) a
 CROSS JOIN (SELECT DISTINCT dose FROM province_counts) d CROSS JOIN {R.MONTHS_SQL} m""",
 )
 def _(spark, sf_dir):
-    # Age, dose and month are closed lists: written out per province, no join.
-    def each(values):
-        return F.explode(F.array(*[F.lit(v) for v in values]))
-
-    return (
-        X.view(spark, sf_dir, "r_dose_counts")
-        .where(F.col("age_band").isin(*dims.DOSE_BANDS))
-        .select("province")
-        .distinct()
-        .select("province", each(dims.AGE_LABELS).alias("age_group"))
-        .select("*", each(dims.DOSES).alias("dose"))
-        .select("*", F.explode(R.months().points()).alias("month"))
-    )
+    # The observed values of each column in one row, written out again: no join.
+    rows = coverage.dose_rows(X.view(spark, sf_dir, "r_dose_counts")).where(F.col("age_band").isin(*dims.DOSE_BANDS))
+    domains = ("province", "age_group", "dose")
+    grid = rows.agg(*[F.collect_set(c).alias(c) for c in domains])
+    for c in domains:
+        grid = grid.withColumn(c, F.explode(c))
+    return grid.withColumn("month", F.explode(R.months().points()))
 
 
 @query(

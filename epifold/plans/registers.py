@@ -29,6 +29,7 @@ from epifold.operators import (
 from epifold.plans import fixtures as X
 from epifold.plans.registry import part, query
 from epifold.sources.literals import timeline
+from epifold.sources import files
 from epifold.sources.storage import cut, scratch_path
 
 AGE_CASE = """CASE WHEN age < 3 THEN '0-2' WHEN age >= 3 AND age < 12 THEN '3-11'
@@ -329,6 +330,30 @@ def _(spark, sf_dir):
     return linelist.ingest_linelist(rows, other, path, INGEST_NAMES, names, order="seq")
 
 
+@query(
+    "linelist_arrival",
+    "PIPE-43",
+    sql="""
+SELECT case_id, age, open_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS k FROM r_linelist
+) WHERE k = 1""",
+)
+def _(spark, sf_dir):
+    # Files of unequal size as they arrive, the later ones packed; no order is given.
+    rows = X.view(spark, sf_dir, "r_linelist").select("seq", "case_id", "age", "open_date")
+    size = F.floor(F.log2(F.col("seq") + 2)).cast("int")
+    dealt = rows.withColumn("_size", size).repartitionById(64, "_size").sortWithinPartitions("seq")
+    plain, packed = scratch_path(spark, "arrival-plain"), scratch_path(spark, "arrival-packed")
+    early = F.col("_size") < 9
+    dealt.where(early).drop("_size").write.option("header", True).csv(plain)
+    files.write_csv_gzip(dealt.where(~early).drop("_size"), packed)
+    first = files.read_csv(spark, plain, rows.schema, position=True)
+    second = files.read_csv(spark, packed, rows.schema, position=True, partitions=8)
+    names = {c: c for c in ("case_id", "age", "open_date")}
+    lines = linelist.ingest_linelist(first, second, scratch_path(spark, "arrival"), names)
+    return linelist.first_record(lines, "case_id").drop("seq")
+
+
 INTERVALS_SQL = "(VALUES " + ", ".join(
     f"('{e}', '{g}', DATE '{a}', DATE '{b}')" for e, g, a, b in X.INTERVALS
 ) + ") AS i(event, event_group, start_date, end_date)"
@@ -981,7 +1006,7 @@ def _(spark, sf_dir):
 
 part(
     "code_groups",
-    "SELECT substr('0123456789', 1, 0) || r.letter || lpad(CAST(g.i AS VARCHAR), 2, '0') AS code,"
+    "SELECT r.letter || lpad(CAST(g.i AS VARCHAR), 2, '0') AS code,"
     " r.cause_group, r.cause_group_short FROM (VALUES "
     + ", ".join(
         f"('{letter}', {low}, {high}, '{dims.CAUSE_GROUPS[g][1]}', '{dims.CAUSE_GROUPS[g][0]}')"

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+#: Where a row lies in its source: file, start of the part read, row in that part.
+POSITION = ("_file", "_block", "_row")
 
 
 def read_csv(
@@ -17,11 +19,15 @@ def read_csv(
     schema: T.StructType,
     keep_corrupt: bool = False,
     partitions: int | None = None,
+    position: bool = False,
     **options: str,
 ) -> DataFrame:
-    """CSV with a declared schema; ``NA`` and empty fields are NULL.
+    """The declared columns of CSV files, found by their header names; ``NA`` and empty fields are NULL.
 
-    With ``keep_corrupt`` the text of a line that does not fit the schema is
+    Columns may stand in any order and among others. A declared column that is
+    missing is an error, and so is a file whose header differs from the first
+    one's. ``position`` adds where each row lies, taken before its rows are
+    spread. With ``keep_corrupt`` the text of a line that does not fit the schema is
     kept in ``_corrupt_record``. A gzip file is one split whatever its size, so
     ``partitions`` spreads its rows for the work that follows.
     """
@@ -31,10 +37,25 @@ def read_csv(
         .option("mode", "PERMISSIVE")
         .options(**options)
     )
+    header = spark.read.option("header", True).options(**options).csv(path).columns
+    missing = [c for c in schema.names if c not in header]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in the header of {path}")
+    fields = [schema[c] if c in schema.names else T.StructField(c, T.StringType(), True) for c in header]
+    wanted = [F.col(f"`{c}`") for c in schema.names]
     if keep_corrupt:
-        schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+        fields.append(T.StructField(CORRUPT, T.StringType(), True))
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.schema(schema).csv(path)
+        wanted.append(F.col(CORRUPT))
+    # Every file's header is held against the schema made from the first one.
+    df = reader.option("enforceSchema", False).schema(T.StructType(fields)).csv(path)
+    if position:
+        wanted += [
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+        ]
+    df = df.select(*wanted)
     return df.repartition(partitions) if partitions else df
 
 

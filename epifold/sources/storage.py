@@ -55,10 +55,15 @@ def materialise_once(df: DataFrame, path: str) -> DataFrame:
     """Write the frame unless a finished table is there; read the table back.
 
     A table left behind by a job that died has no success marker and is
-    replaced, never read.
+    replaced, never read. A finished table with other columns or types is an
+    error.
     """
     spark = df.sparkSession
-    if not is_complete(spark, path):
+    if is_complete(spark, path):
+        found, wanted = spark.read.parquet(path).dtypes, df.dtypes
+        if found != wanted:
+            raise ValueError(f"the table at {path} has {found} instead of {wanted}")
+    else:
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,6 +20,7 @@ from epifold.operators import (
     causes,
     comorbidity,
     coverage,
+    geo,
     incidence,
     linelist,
     population,
@@ -35,6 +36,8 @@ DEATH_COLUMNS = {
     **CASE_COLUMNS,
     **{c: schemas.CASE_NAMES[c] for c in ("PRIMERA", "SEGUNDA", "REFUERZO")},
 }
+#: Columns that a matrix by year may have.
+MOST_YEARS = 500
 PROVINCE_NAMES = {long: short for short, long in dims.REGION_NAMES.items()}
 REPORT_NAMES = {
     "monthly_cases": {"age_group": "Age group", "year_month": "Year-Month", "n": "Cases"},
@@ -52,6 +55,18 @@ REPORT_NAMES = {
         "nonvac": "Non vaccinated deaths",
         "vac": "Vaccinated deaths",
     },
+    "yearly_deaths": {
+        "year": "Year",
+        **{
+            f"{age}_{kind}": f"{dims.AGE_DISPLAY[age]}: {shown}"
+            for age in dims.AGE_LABELS
+            for kind, shown in (("nonvac", "Non Vaccinated Deaths"), ("vac", "Vaccinated Deaths"))
+        },
+    },
+    **{
+        name: {"rank": "Rank", "cause_group": "Cause group", "deaths": "Deaths"}
+        for name in ("ranking", "ranking_infectious")
+    },
     "comorbidities": {"condition": "Comorbidity", "n": "Count"},
     "before_after": {
         "disease": "Disease",
@@ -71,15 +86,22 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("age_group", recode("age_group", dims.AGE_DISPLAY, F.col("age_group")))
 
 
-def case_curves(text_dates: DataFrame, dates: DataFrame, folder: str) -> dict[str, DataFrame]:
+def case_curves(
+    text_dates: DataFrame, dates: DataFrame, folder: str, order: str | None = None
+) -> dict[str, DataFrame]:
     """Monthly cases and deaths by age group with the intervention timeline.
 
     The two case lists are united and written once, corrected, and reduced to
-    one row per case with its first known death date.
+    one row per case with its first known death date. Rows arrive in the order
+    of the column ``order`` of both lists, else as they lie in their files.
     """
     spark = text_dates.sparkSession
     lines = linelist.ingest_linelist(
-        _dated(text_dates), dates, f"{folder}/case-lines", CASE_COLUMNS
+        _dated(text_dates),
+        dates,
+        f"{folder}/case-lines",
+        {**CASE_COLUMNS, **({order: order} if order else {})},
+        order=order,
     )
     fixed = linelist.apply_overrides(lines, dims.DEATH_DATE_FIXES, "case_id", "death_date")
     single = linelist.dedup_linelist(fixed, "case_id", "seq", best_of=["death_date"])
@@ -110,11 +132,19 @@ def coverage_and_incidence(
     people: DataFrame,
     doses: DataFrame,
     folder: str,
+    order: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Coverage, incidence by dose status, deaths by status and comorbidities."""
+    """Coverage, incidence by dose status, deaths by status and comorbidities.
+
+    ``order`` is that of :func:`case_curves`.
+    """
     with_flags = _dated(deaths_with_flags)
     lines = linelist.ingest_linelist(
-        with_flags, deaths_with_condition, f"{folder}/death-lines", DEATH_COLUMNS
+        with_flags,
+        deaths_with_condition,
+        f"{folder}/death-lines",
+        {**DEATH_COLUMNS, **({order: order} if order else {})},
+        order=order,
     )
     leveled = lines.select(
         "case_id",
@@ -205,19 +235,35 @@ def person_doses(ledger: DataFrame, path: str) -> DataFrame:
     )
 
 
+def label_points(vertices: DataFrame) -> DataFrame:
+    """Points for the map's labels, one per region, some of them moved by hand."""
+    return geo.polygon_centroids(vertices, dims.LABEL_POINTS)
+
+
+def _years(counts: DataFrame) -> list[int]:
+    """The years that occur; they become columns, so there may not be very many."""
+    found = counts.where("year is not null").select("year").distinct().limit(MOST_YEARS + 1)
+    years = sorted(r.year for r in found.collect())
+    if len(years) > MOST_YEARS:
+        raise ValueError(f"more than {MOST_YEARS} years; name those wanted")
+    return years
+
+
 def cause_tables(
-    register: DataFrame, years: tuple[int, int] = (2005, 2022)
+    register: DataFrame, years: tuple[int, int] | None = None
 ) -> dict[str, DataFrame]:
     """Leading causes, before/after comparison, ranks and the yearly matrices.
 
-    Single causes by year are a small table that every other one is built on;
+    The matrices have a column for every year of the register unless ``years``
+    names the first and last one. Single causes by year are a small table that every other one is built on;
     the register itself is read once for it.
     """
     rows = register.withColumnsRenamed(schemas.DEATH_REGISTER_NAMES)
     counts = cut(causes.cause_counts(rows))
     subset = dims.INFECTIOUS_RESPIRATORY
-    last = years[1]
-    span = list(range(years[0], last + 1))
+    span = list(range(years[0], years[1] + 1)) if years else _years(counts)
+    # The ranking is that of the last year; a register without years has none.
+    last = span[-1] if span else dims.RANK_CHART_SINCE
     since = dims.RANK_CHART_SINCE
     return {
         "leading_causes": causes.top_causes(counts),

@@ -14,6 +14,13 @@ from epifold.sources import schemas
 D = date
 
 
+def arriving(df, start):
+    """With the place of each row in its list."""
+    rows = df.collect()
+    schema = T.StructType([*df.schema.fields, T.StructField("at", T.LongType())])
+    return df.sparkSession.createDataFrame([(*r, start + i) for i, r in enumerate(rows)], schema)
+
+
 def frame(spark, schema, records):
     """Rows given as dictionaries, other columns NULL."""
     return spark.createDataFrame(
@@ -40,7 +47,9 @@ def test_case_curves(spark, tmp_path):
         spark, schemas.CASES,
         [case("3", 15.0, D(2022, 6, 1), D(2022, 6, 9)), case("4", 2.0, D(2023, 1, 1))],
     )
-    tables = studies.case_curves(text, native, str(tmp_path / "work"))
+    tables = studies.case_curves(
+        arriving(text, 0), arriving(native, 100), str(tmp_path / "work"), order="at"
+    )
     cases = {(r["age_group"], r["year_month"]): r["n"] for r in tables["monthly_cases"].collect()}
     assert cases == {
         ("0-2", "2020-05"): 1, ("3-11", "2021-01"): 1, ("3-11", "2020-10"): 1,
@@ -102,8 +111,8 @@ def test_coverage_and_incidence(spark, tmp_path):
         ],
     )
     tables = studies.coverage_and_incidence(
-        with_flags, with_condition, frame(spark, schemas.POPULATION, PEOPLE),
-        frame(spark, schemas.DOSE_COUNTS, DOSES), str(tmp_path / "work"),
+        arriving(with_flags, 0), arriving(with_condition, 100), frame(spark, schemas.POPULATION, PEOPLE),
+        frame(spark, schemas.DOSE_COUNTS, DOSES), str(tmp_path / "work"), order="at",
     )
     yearly = {r["year"]: tuple(r)[1:] for r in tables["yearly_deaths"].collect()}
     assert yearly == {
@@ -193,7 +202,10 @@ def test_cause_tables(spark, tmp_path):
     assert before["Hepatitis A"] == ("2005-2006", "3.00", "2007-2022", "0.00")
     assert before["Covid"] == ("2020-2022", "1.67", "-", "-")
     assert tables["leading_causes"].count() == 6
-    assert tables["deaths_by_group"].columns == ["label", *map(str, range(2005, 2023))]
+    # A column for every year that occurs, or for those asked for.
+    assert tables["deaths_by_group"].columns == ["label", "2005", "2022"]
+    asked = studies.cause_tables(register, (2005, 2022))["deaths_by_group"]
+    assert asked.columns == ["label", *map(str, range(2005, 2023))]
     studies.write_tables(tables, str(tmp_path / "out"))
     stored = spark.read.parquet(str(tmp_path / "out" / "before_after"))
     assert stored.columns[0] == "Disease" and stored.count() == 5

@@ -444,6 +444,21 @@ def test_centroids(spark):
     assert rows(geo.polygon_centroids(df)) == [("full", 2.0, 1.0, 8.0), ("half", 1.0, 1.0, 4.0)]
     moved = geo.polygon_centroids(df, [("full", None, -9.0)])
     assert rows(moved)[0] == ("full", 2.0, -9.0, 8.0)
+    gaps = geo.polygon_centroids(df.withColumn("idx", F.col("idx") * 10))
+    assert rows(gaps) == [("full", 2.0, 1.0, 8.0), ("half", 1.0, 1.0, 4.0)]
+    by_place = geo.polygon_centroids(df, moved=[(1.0, 1.0, 5.0, 6.0)])
+    assert rows(by_place) == [("full", 2.0, 1.0, 8.0), ("half", 5.0, 6.0, 4.0)]
+
+
+def test_unknown_doses_are_refused_and_unknown_counts_add_nothing(spark):
+    columns = "province string, sex string, year int, month_es string, age_band string, qty int, dose string"
+    given = spark.createDataFrame([("A", "F", 2021, "Mayo", "0-2", 5, "4")], columns)
+    people = spark.createDataFrame([("A", "0-2", 10.0)], "province string, age_group string, population double")
+    months = series.Calendar("2021-01-01", "2021-12-01")
+    with pytest.raises(Exception, match="unknown dose 4"):
+        coverage.provincial_coverage(given, people, months).collect()
+    empty = spark.createDataFrame([("A", "F", 2021, "Mayo", "0-2", None, "1")], columns)
+    assert [r["n"] for r in coverage.dose_counts(empty, null_policy="keep").collect()] == [0]
 
 
 def test_literal_table_hint_follows_its_length(spark):
