@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from epifold.llm.chat import masked, turns_of, windows
+from epifold.llm.chat import BUDGET, CLOSE, CONTROL, MIDDLE, OPEN, masked, turns_of, windows
 from epifold.llm.registry import query, table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -27,7 +27,41 @@ def read_back(formatted):
     )
 
 
-@query("op10_chat")
+CONTROLS_SQL = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in CONTROL)
+SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '{PROBE}' FROM range(2) AS r(k)
+), o AS (
+  SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx FROM t
+), p AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY idx) AS stop FROM o
+), s AS (
+  SELECT *, (stop - tokens) // {BUDGET // 2} AS stride FROM p
+), q AS (
+  SELECT *, CASE WHEN stride <> lag(stride, 1, -1) OVER (PARTITION BY conv_id ORDER BY idx) THEN 1 ELSE 0 END AS fresh FROM s
+), u AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS own FROM q
+), v AS (
+  SELECT *, max(own) OVER (PARTITION BY conv_id) AS last, max(stop) OVER (PARTITION BY conv_id, own) AS until FROM u
+), w AS (
+  SELECT *, replace(role, '\', '\\') AS r, replace(text, '\', '\\') AS b,
+         CASE WHEN idx = 1 AND role = 'system' THEN last - own + 1
+              WHEN until - stop + tokens <= {BUDGET // 8} AND own < last THEN 2 ELSE 1 END AS times FROM v
+), z AS (
+  SELECT *, {len(OPEN + MIDDLE + CLOSE)} + length(r) + length(b) + ({CONTROLS_SQL.replace("(x", "(r")})
+         + ({CONTROLS_SQL.replace("(x", "(b")}) AS chars FROM w
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(times * chars) AS BIGINT) AS formatted_chars, CAST(max(last) + 1 AS BIGINT) AS n_windows
+FROM z GROUP BY conv_id
+"""
+
+
+@query("op10_chat", sql=SQL)
 def op10_chat(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
