@@ -9,7 +9,7 @@ BUILDS, SQL = catalog.load()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, sf_dir, name):
     con = compare.connect(sf_dir)
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     assert compare.difference(BUILDS[name](spark, sf_dir), con, SQL[name]) is None
 
