@@ -17,6 +17,9 @@ three eighths of it, which ``tokens`` shows.
 Defined results: NULL roles and texts are empty, NULL turns come first, rows with
 one turn number are ordered by role and text and all kept. Rows without
 ``conv_id`` are one conversation with a NULL id. Other columns are ignored.
+
+The turns of one conversation are ranked and summed in one task, by windows that
+spill; a window's text is all that is ever held together.
 """
 
 from __future__ import annotations
