@@ -103,24 +103,45 @@ def runs_of(letters: Letters, data: np.ndarray, offsets: np.ndarray):
     return row[:-2][inside], key
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray):
+    """Blocks as (first row, bytes, row offsets); a longer text comes in parts cut at white space.
+
+    A run never reaches over white space but by the gap that stands for it, so
+    the parts' vectors add up to the text's.
+    """
+    for i, j in words.blocks(offsets, BLOCK):
+        start, stop = int(offsets[i]), int(offsets[j])
+        if j > i + 1 or stop - start <= 2 * BLOCK:
+            yield i, data[start:stop], offsets[i : j + 1] - start
+            continue
+        while start < stop:
+            cut = min(stop, start + BLOCK)
+            while cut < stop and not words.IS_SEPARATOR[data[cut]]:
+                near = np.flatnonzero(words.IS_SEPARATOR[data[cut : cut + BLOCK]])
+                cut = cut + int(near[0]) if len(near) else min(stop, cut + BLOCK)
+            yield i, data[start:cut], np.array([0, cut - start])
+            start = cut
+
+
 def profiles(letters: Letters, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The vector of each text; zero without letters."""
     out = np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
-    for i, j in words.blocks(offsets, BLOCK):
-        row, key = runs_of(letters, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    for i, part, bounds in _parts(data, offsets):
+        row, key = runs_of(letters, part, bounds)
         if not len(key):
             continue
         used, place = np.unique(key, return_inverse=True)
         mask = (1 << 21) - 1
         bound = letters.bound(np.stack([used >> 42, (used >> 21) & mask, used & mask], axis=1))
-        cuts = np.searchsorted(row, np.arange(j - i + 1))
-        for r in range(0, j - i, ROWS):
-            s = min(j - i, r + ROWS)
+        rows = len(bounds) - 1
+        cuts = np.searchsorted(row, np.arange(rows + 1))
+        for r in range(0, rows, ROWS):
+            s = min(rows, r + ROWS)
             x, y = cuts[r], cuts[s]
             if x == y:
                 continue
             count = np.bincount((row[x:y] - r) * len(used) + place[x:y], minlength=(s - r) * len(used))
-            out[i + r : i + s] = count.reshape(s - r, len(used)).astype(np.float32) @ bound
+            out[i + r : i + s] += count.reshape(s - r, len(used)).astype(np.float32) @ bound
     return out
 
 

@@ -60,7 +60,7 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     rows = len(offsets) - 1
 
     def per_row(flag):
-        total = np.zeros(len(flag) + 1, np.int64)
+        total = np.zeros(len(flag) + 1, np.int32)
         np.cumsum(flag, out=total[1:])
         return np.diff(total[offsets])
 
@@ -70,7 +70,7 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     chars = per_row(~separator & ((data & 0xC0) != 0x80))
     symbols = per_row(IS_SYMBOL[data])
     line_start, line_end, line_before = words.spans_of(data != 0x0A, offsets)
-    within = np.zeros(len(data) + 1, np.int64)
+    within = np.zeros(len(data) + 1, np.int32)
     np.cumsum(~separator, out=within[1:])
     real = within[line_end] > within[line_start]
     line_row = words.owners(line_before)[real]

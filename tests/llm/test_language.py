@@ -54,6 +54,15 @@ def test_sample_documents(spark, sf_dir):
     assert np.mean(out) > 0.98
 
 
+def test_long_texts_add_up_from_their_parts(monkeypatch):
+    raw = "\n".join(" ".join(TEXTS.values()) for _ in range(300)).encode()
+    data, offsets, letters = np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), language.Letters()
+    whole = language.profiles(letters, data, offsets)
+    monkeypatch.setattr(language, "BLOCK", 1000)
+    assert len(list(language._parts(data, offsets))) > 10
+    assert np.array_equal(language.profiles(letters, data, offsets), whole)
+
+
 def test_profiles_do_not_depend_on_the_block():
     texts = ["Ab cd, ef", "", "  x ", "ÄÖ ü"]
     raw = [t.encode() for t in texts]
