@@ -32,7 +32,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
 #: Parts whose pieces a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Characters up to which pairs are scanned instead of queued.
 SHORT = 64
 

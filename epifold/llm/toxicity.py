@@ -37,6 +37,8 @@ SUPPORT = 4
 PURITY = 0.4
 PREFIXES = (4, 5)
 TABLE_BITS = 20
+#: Features that a task counts together.
+AT_ONCE = 1 << 19
 
 IN_TOKEN = np.zeros(256, bool)
 IN_TOKEN[128:] = True
@@ -82,9 +84,13 @@ class Lookup:
 def _counted(docs: DataFrame) -> DataFrame:
     """(feature, n): in how many of the documents a feature occurs."""
 
+    def counts(seen):
+        value, n = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["feature", "n"])
+
     def run(batches):
+        seen, size = [], 0
         for batch in batches:
-            seen = []
             for _, _, data, offsets in words.text_blocks(batch, "text"):
                 row, value = features_of(data, offsets)
                 order = np.lexsort((value, row))
@@ -92,9 +98,12 @@ def _counted(docs: DataFrame) -> DataFrame:
                 fresh = np.ones(len(row), bool)
                 fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
                 seen.append(value[fresh])
-            if seen:
-                value, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["feature", "n"])
+                size += len(seen[-1])
+                if size > AT_ONCE:
+                    yield counts(seen)
+                    seen, size = [], 0
+        if seen:
+            yield counts(seen)
 
     return docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
