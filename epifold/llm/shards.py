@@ -5,7 +5,8 @@ on; a keyed Feistel network over a rectangle of at least as many places permutes
 the numbers, and a number that lands outside them is sent through again until it
 is inside (cycle-walking). The result is the sequence's slot. Slots are dealt by
 range to one task per shard, which sorts and writes them, so record k of shard s
-is slot s * ROWS + k, and a reader resumes at any slot by its byte offset.
+is slot s * ROWS + k, and a reader resumes at any slot by its byte offset. On
+the way the records of a block that go to one shard travel together, compressed.
 
 A record is the document's id (8 bytes), the sequence's place in the document
 and its tokens' number (4 bytes each, all with the highest byte first), the
@@ -23,6 +24,8 @@ are ignored. An empty table has no shard.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +41,8 @@ NO_ID = -(2**63)
 #: Byte tokens: a token is a byte of UTF-8; this value is none and fills records.
 PAD = 0xFF
 HEADER = 16
+#: Bytes of text whose records are dealt together.
+BLOCK = 1 << 22
 
 
 def permute(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
@@ -66,7 +71,9 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
 
 
-def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, length: int) -> DataFrame:
+def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, length: int, rows: int) -> DataFrame:
+    """(shard, n, load): slots and records of a block that go to one shard."""
+
     def run(batches):
         number, stop = None, None
         for batch in batches:
@@ -77,10 +84,12 @@ def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, l
                 number, count = bases.get(part, (0, 0))
                 stop = number + count
             ids = batch.column("doc_id").to_numpy().astype(np.int64)
-            for i, j, data, offsets in words.text_blocks(batch, "text"):
+            for i, j, data, offsets in words.text_blocks(batch, "text", BLOCK):
                 counts = -(-np.diff(offsets) // length)
                 bounds = words.offsets_of(counts)
                 row = words.owners(bounds)
+                if not len(row):
+                    continue
                 place = np.arange(len(row)) - bounds[row]
                 start = offsets[row] + place * length
                 size = np.minimum(offsets[row + 1] - start, length)
@@ -90,16 +99,47 @@ def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, l
                 out[:, :8] = ids[i:j][row].astype(">i8").view(np.uint8).reshape(-1, 8)
                 out[:, 8:12] = place.astype(">i4").view(np.uint8).reshape(-1, 4)
                 out[:, 12:16] = size.astype(">i4").view(np.uint8).reshape(-1, 4)
-                column = np.arange(length)
-                inside = column < size[:, None]
+                inside = np.arange(length) < size[:, None]
                 out[:, HEADER:][inside] = data
+                shard = slots // rows
+                # Neighbours in the text stay neighbours, which helps to compress them.
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
+                groups = np.split(order, cuts[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), words.binary(out.ravel(), np.arange(len(row) + 1) * (HEADER + length))], ["slot", "record"]
+                    [
+                        pa.array(shard[order[cuts]].astype(np.int32)),
+                        pa.array([len(g) for g in groups], pa.int64()),
+                        pa.array([zlib.compress(slots[g].tobytes() + out[g].tobytes(), 1) for g in groups], pa.binary()),
+                    ],
+                    ["shard", "n", "load"],
                 )
         if number != stop:
             raise RuntimeError("the input's partitions changed between its two reads")
 
-    return source.withColumn("part", F.spark_partition_id()).mapInArrow(run, "slot long, record binary")
+    return source.withColumn("part", F.spark_partition_id()).mapInArrow(run, "shard int, n long, load binary")
+
+
+def _in_order(loads: DataFrame, length: int) -> DataFrame:
+    """The records of each partition, which is one shard, by slot."""
+
+    def run(batches):
+        slots, records = [], []
+        for batch in batches:
+            for n, load in zip(batch.column("n").to_pylist(), batch.column("load")):
+                raw = zlib.decompress(load.as_py())
+                slots.append(np.frombuffer(raw, np.int64, n))
+                records.append(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(n, HEADER + length))
+        if not slots:
+            return
+        order, records = np.argsort(np.concatenate(slots)), np.concatenate(records)
+        for k in range(0, len(order), 4096):
+            some = records[order[k : k + 4096]]
+            yield pa.RecordBatch.from_arrays(
+                [words.binary(some.ravel(), np.arange(len(some) + 1) * (HEADER + length))], ["record"]
+            )
+
+    return loads.mapInArrow(run, "record binary")
 
 
 def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = ROWS) -> int:
@@ -115,10 +155,10 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = R
     for r in per.toLocalIterator():
         bases[r.part], total = (total, r.n), total + r.n
     shards = -(-total // rows)
-    placed = _records(source, bases, total, length)
+    loads = _records(source, bases, total, length, rows)
     if shards:
-        placed = placed.repartitionById(shards, F.floor(F.col("slot") / rows).cast("int")).sortWithinPartitions("slot")
-    placed.select(F.col("record").cast("string").alias("value")).write.text(path)
+        loads = loads.repartitionById(shards, "shard")
+    _in_order(loads, length).select(F.col("record").cast("string").alias("value")).write.text(path)
     return total
 
 
