@@ -345,13 +345,15 @@ def _share(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str, packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, packed: bool = False, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids`` and the byte spans ``starts`` and ``stops`` of its ``text``.
 
-    ``packed`` ids are bytes, four for each id with the lowest first.
+    ``packed`` ids are bytes, four for each id with the lowest first. With
+    ``decoded`` the same task decodes them again, as :func:`decode` does.
     """
     shared = _share(docs, path)
-    keep = [c for c in docs.columns if c not in RESULTS]
+    results = [*RESULTS, *(["decoded"] if decoded else [])]
+    keep = [c for c in docs.columns if c not in results]
 
     def run(batches):
         from epifold.llm.pieces import _model as load
@@ -366,11 +368,14 @@ def encode(docs: DataFrame, path: str, packed: bool = False) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)) for x in flat]
                 if packed:
                     lists[0] = words.binary(flat[0].astype("<i4").view(np.uint8), bounds * 4)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *lists], [*keep, *RESULTS])
+                if decoded:
+                    lists.append(pa.array([model.decode(ids.tolist()) for ids, _, _ in out], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *lists], [*keep, *results])
 
     numbers = T.ArrayType(T.IntegerType())
     fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, *(T.StructField(c, T.BinaryType() if packed and c == "ids" else numbers) for c in RESULTS)])
+    fields += [T.StructField(c, T.BinaryType() if packed and c == "ids" else numbers) for c in RESULTS]
+    schema = T.StructType([*fields, *([T.StructField("decoded", T.StringType())] if decoded else [])])
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 

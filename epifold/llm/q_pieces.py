@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epifold.llm.pieces import decode, encode
+from epifold.llm.pieces import encode
 from epifold.llm.registry import query, table
 
 MODEL = "piece_bpe_32k.model"
@@ -17,14 +17,13 @@ def model_path() -> str:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Digests of the ids and of the decoded text, and the bytes that the spans cover."""
-    encoded = encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), path, packed=True)
-    covered = encoded.select("doc_id", "ids", F.element_at("stops", -1).cast("long").alias("n_covered"))
-    return decode(covered, path).select(
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return encode(rows, path, packed=True, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        "n_covered",
+        F.element_at("stops", -1).cast("long").alias("n_covered"),
     )
 
 
