@@ -116,6 +116,7 @@ class Model:
         self.worst = float("inf")
         self.unknown = kinds.index(UNKNOWN)
         self.begin, self.end = trainer.bos_id, trainer.eos_id
+        self.first, self.last = (np.int32(i).tobytes() for i in (self.begin, self.end))
         bytes_ = [i for i, k in enumerate(kinds) if k == BYTE]
         self.byte_ids = {int(proto.pieces[i].piece[3:5], 16): i for i in bytes_}
         self.surface = [b""] * len(kinds)
@@ -249,6 +250,19 @@ class Model:
             out = [x for p, i in zip(pieces, out) for x in ([i] if i is not None else [self.byte_ids[b] for b in p.encode()])]
         return array("i", out).tobytes()
 
+    def _remembered(self, text: str) -> tuple[list[str], bytes]:
+        """The parts of a text and their ids as 32-bit numbers."""
+        parts = self.parts.findall(text)
+        if parts and self.prefix:
+            parts[0] = " " + parts[0]
+        return parts, self.memory.join(parts)
+
+    def encode_ids(self, text: str) -> bytes:
+        """The ids of :meth:`encode` alone, as 32-bit numbers."""
+        if not self.plain or BLANK in text:
+            return self.encode(text)[0].tobytes()
+        return b"".join((self.first, self._remembered(text)[1], self.last))
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first and last byte of each piece, with the begin and end ids."""
         if not self.plain or BLANK in text:
@@ -260,10 +274,8 @@ class Model:
                 np.array([0, *first, size], np.int32),
                 np.array([0, *last, size], np.int32),
             )
-        parts = self.parts.findall(text)
-        if parts and self.prefix:
-            parts[0] = " " + parts[0]
-        found = np.frombuffer(self.memory.join(parts), np.int32)
+        parts, found = self._remembered(text)
+        found = np.frombuffer(found, np.int32)
         ids = np.empty(len(found) + 2, np.int32)
         ids[0], ids[1:-1], ids[-1] = self.begin, found, self.end
         # A piece covers the bytes of its surface, the added blank none.
@@ -379,6 +391,31 @@ def encode(docs: DataFrame, path: str, packed: bool = False, decoded: bool = Fal
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
+def id_bytes(path: str) -> int:
+    """Bytes that hold each id of a model and leave one value free: two or four."""
+    with open(path, "rb") as file:
+        return 2 if len(Model(file.read()).scores) < 1 << 16 else 4
+
+
+def encode_ids(docs: DataFrame, path: str, width: int = 4) -> DataFrame:
+    """(doc_id, ids): packed ids of ``width`` bytes each, the lowest first; a text without characters has none."""
+    shared = _share(docs, path)
+
+    def run(batches):
+        from epifold.llm.pieces import _model as load
+
+        model = load(shared)
+        for batch in batches:
+            for i, j, data, offsets in words.text_blocks(batch, "text"):
+                out = [model.encode_ids(data[a:b].tobytes().decode("utf-8", "replace")) if b > a else b"" for a, b in zip(offsets, offsets[1:])]
+                bounds = words.offsets_of(np.array([len(ids) for ids in out])) // 4 * width
+                flat = np.frombuffer(b"".join(out), np.int32).astype(f"<u{width}").view(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), words.binary(flat, bounds)], ["doc_id", "ids"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the ``decoded`` text of its ``ids``, packed or not."""
     shared = _share(encoded, path)

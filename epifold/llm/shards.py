@@ -1,5 +1,9 @@
 """Token sequences in training order, as shards of records of one length.
 
+A document's tokens are the ids of a sub-word model; each document is encoded
+once and its packed ids are kept in the shared folder until the shards are
+written. Without a model the bytes of its UTF-8 text are the tokens.
+
 A document's tokens are cut into sequences. Every sequence has a number from 0
 on; a keyed Feistel network over a rectangle of at least as many places permutes
 the numbers, and a number that lands outside them is sent through again until it
@@ -10,12 +14,13 @@ the way the records of a block that go to one shard travel together, compressed.
 
 A record is the document's id (8 bytes), the sequence's place in the document
 and its tokens' number (4 bytes each, all with the highest byte first), the
-tokens padded to ``length``, and a line feed. Files are written by Spark's
+tokens padded to ``length``, and a line feed. An id takes two bytes, or four in a
+model of 65,536 pieces or more, with the lowest byte first. Files are written by Spark's
 committer; their part numbers are the shard numbers.
 
-Numbers follow the partitions of the input, which is read twice: give it as a
-table, not as the result of a shuffle. Should the partitions differ between the
-reads, the job stops.
+Numbers follow the partitions of the tokens, which are read twice. Without a
+model that is the input: give it as a table, not as the result of a shuffle.
+Should the partitions differ between the reads, the job stops.
 
 Defined results: an empty or NULL text has no sequence. Rows without ``doc_id``
 are written with the id ``NO_ID``. Repeated rows are written each. Other columns
@@ -31,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epifold.llm import words
+from epifold.llm import pieces, words
+from epifold.sources.storage import Scratch
 
 LENGTH = 512
 ROWS = 32_768
 KEY = 0x5EED
 ROUNDS = 4
 NO_ID = -(2**63)
-#: Byte tokens: a token is a byte of UTF-8; this value is none and fills records.
+#: Bytes of this value are no token and fill records.
 PAD = 0xFF
 HEADER = 16
-#: Bytes of text whose records are dealt together.
+#: Bytes of tokens whose records are dealt together.
 BLOCK = 1 << 22
 
 
@@ -62,17 +68,14 @@ def permute(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(size: Column, length: int) -> Column:
-    return F.ceil(size / length).cast("long")
-
-
 def _source(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
 
 
-def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, length: int, rows: int) -> DataFrame:
+def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, length: int, rows: int, width: int) -> DataFrame:
     """(shard, n, load): slots and records of a block that go to one shard."""
+    span = length * width
 
     def run(batches):
         number, stop = None, None
@@ -84,25 +87,25 @@ def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, l
                 number, count = bases.get(part, (0, 0))
                 stop = number + count
             ids = batch.column("doc_id").to_numpy().astype(np.int64)
-            for i, j, data, offsets in words.text_blocks(batch, "text", BLOCK):
-                counts = -(-np.diff(offsets) // length)
+            for i, j, data, offsets in words.text_blocks(batch, "tokens", BLOCK):
+                counts = -(-np.diff(offsets) // span)
                 bounds = words.offsets_of(counts)
                 row = words.owners(bounds)
                 if not len(row):
                     continue
                 place = np.arange(len(row)) - bounds[row]
-                start = offsets[row] + place * length
-                size = np.minimum(offsets[row + 1] - start, length)
+                start = offsets[row] + place * span
+                size = np.minimum(offsets[row + 1] - start, span)
                 slots = permute(number + np.arange(len(row)), total)
                 number += len(row)
-                out = np.full((len(row), HEADER + length), PAD, np.uint8)
+                out = np.full((len(row), HEADER + span), PAD, np.uint8)
                 out[:, :8] = ids[i:j][row].astype(">i8").view(np.uint8).reshape(-1, 8)
                 out[:, 8:12] = place.astype(">i4").view(np.uint8).reshape(-1, 4)
-                out[:, 12:16] = size.astype(">i4").view(np.uint8).reshape(-1, 4)
-                inside = np.arange(length) < size[:, None]
+                out[:, 12:16] = (size // width).astype(">i4").view(np.uint8).reshape(-1, 4)
+                inside = np.arange(span) < size[:, None]
                 out[:, HEADER:][inside] = data
                 shard = slots // rows
-                # Neighbours in the text stay neighbours, which helps to compress them.
+                # Neighbours in the input stay neighbours, which helps to compress them.
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
                 groups = np.split(order, cuts[1:])
@@ -120,7 +123,7 @@ def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, l
     return source.withColumn("part", F.spark_partition_id()).mapInArrow(run, "shard int, n long, load binary")
 
 
-def _in_order(loads: DataFrame, length: int) -> DataFrame:
+def _in_order(loads: DataFrame, size: int) -> DataFrame:
     """The records of each partition, which is one shard, by slot."""
 
     def run(batches):
@@ -129,25 +132,38 @@ def _in_order(loads: DataFrame, length: int) -> DataFrame:
             for n, load in zip(batch.column("n").to_pylist(), batch.column("load")):
                 raw = zlib.decompress(load.as_py())
                 slots.append(np.frombuffer(raw, np.int64, n))
-                records.append(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(n, HEADER + length))
+                records.append(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(n, size))
         if not slots:
             return
         order, records = np.argsort(np.concatenate(slots)), np.concatenate(records)
         for k in range(0, len(order), 4096):
             some = records[order[k : k + 4096]]
             yield pa.RecordBatch.from_arrays(
-                [words.binary(some.ravel(), np.arange(len(some) + 1) * (HEADER + length))], ["record"]
+                [words.binary(some.ravel(), np.arange(len(some) + 1) * size)], ["record"]
             )
 
     return loads.mapInArrow(run, "record binary")
 
 
-def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = ROWS) -> int:
-    """Write all sequences of the byte tokens of ``text`` below the path; their number."""
+def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = ROWS, model: str | None = None) -> int:
+    """Write all sequences of the tokens of ``text`` below the path; their number.
+
+    Tokens are the ids of the model file, or bytes if none is given.
+    """
     source = _source(docs)
+    if model is None:
+        return _write(source.withColumnRenamed("text", "tokens"), path, length, rows, 1)
+    width = pieces.id_bytes(model)
+    with Scratch(docs.sparkSession, "token-ids") as scratch:
+        ids = scratch.store(pieces.encode_ids(source, model, width), "ids")
+        return _write(ids.withColumnRenamed("ids", "tokens"), path, length, rows, width)
+
+
+def _write(source: DataFrame, path: str, length: int, rows: int, width: int) -> int:
+    """Write the sequences of (doc_id, tokens); a token has ``width`` bytes."""
     per = (
         source.groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.sum(_sequences(F.octet_length("text"), length)).alias("n"))
+        .agg(F.sum(F.ceil(F.octet_length("tokens") / (length * width)).cast("long")).alias("n"))
         .orderBy("part")
     )
     # One row per partition of the input.
@@ -155,16 +171,16 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = R
     for r in per.toLocalIterator():
         bases[r.part], total = (total, r.n), total + r.n
     shards = -(-total // rows)
-    loads = _records(source, bases, total, length, rows)
+    loads = _records(source, bases, total, length, rows, width)
     if shards:
         loads = loads.repartitionById(shards, "shard")
-    _in_order(loads, length).select(F.col("record").cast("string").alias("value")).write.text(path)
+    _in_order(loads, HEADER + length * width).select(F.col("record").cast("string").alias("value")).write.text(path)
     return total
 
 
-def read_shards(spark: SparkSession, path: str, start: int = 0, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
-    """(slot, doc_id, part, n_tokens, tokens) of all slots from ``start`` on."""
-    stride = HEADER + length + 1
+def read_shards(spark: SparkSession, path: str, start: int = 0, length: int = LENGTH, rows: int = ROWS, width: int = 1) -> DataFrame:
+    """(slot, doc_id, part, n_tokens, tokens) of all slots from ``start`` on, a token in ``width`` bytes."""
+    stride = HEADER + length * width + 1
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     shard = F.regexp_extract("path", r"part-(\d+)-", 1).cast("long")
     first = F.greatest(F.lit(0), F.lit(start) - F.col("shard") * rows)
@@ -186,5 +202,5 @@ def read_shards(spark: SparkSession, path: str, start: int = 0, length: int = LE
         F.when(doc_id != NO_ID, doc_id).alias("doc_id"),
         number(9, 4).alias("part"),
         n.alias("n_tokens"),
-        F.substring("record", F.lit(HEADER + 1), n.cast("int")).alias("tokens"),
+        F.substring("record", F.lit(HEADER + 1), (n * width).cast("int")).alias("tokens"),
     )

@@ -72,9 +72,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column; NULL is empty."""
+    """Bytes and row offsets of a column of strings or bytes; NULL is empty."""
     values = pc.fill_null(batch.column(name), "")
-    width = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    width = np.int64 if pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type) else np.int32
     buffers = values.buffers()
     if len(values) == 0 or buffers[1] is None:
         return np.zeros(0, np.uint8), np.zeros(len(values) + 1, np.int64)
