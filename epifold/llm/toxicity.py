@@ -7,11 +7,10 @@ positives in it. Where this estimate falls below zero the fit has begun to learn
 the sample by heart, and the step is taken back.
 
 A text is the set of its hashed words and word beginnings. Which of them count
-is decided by corpus counts over all training documents.
+is decided by the counts of every one of them over all training documents.
 
 Bounds, as parameters: ``positives`` confirmed documents teach at most (drawn by
-hash), ``candidates`` features are counted, ``features`` are kept, and
-``sample`` unlabelled documents are expected in the fit (drawn by hash).
+hash), the ``features`` of the highest gain are kept, and ``sample`` unlabelled documents are expected in the fit (drawn by hash).
 
 Defined results: a NULL or empty text gets the score of a text without any
 feature. Without confirmed examples every score is 0. Labels that are NULL or
@@ -30,7 +29,6 @@ from pyspark.sql import types as T
 from epifold.llm import words
 
 POSITIVES = 50_000
-CANDIDATES = 1 << 16
 FEATURES = 4096
 SAMPLE = 40_000
 SUPPORT = 4
@@ -82,47 +80,36 @@ class Lookup:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(feature, n): in how many of the documents a feature occurs."""
+    """(feature, n, everywhere): in how many positive documents and in how many of all a feature occurs."""
 
-    def counts(seen):
-        value, n = np.unique(np.concatenate(seen), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["feature", "n"])
+    def counts(seen, positive):
+        value, everywhere = np.unique(np.concatenate(seen), return_counts=True)
+        known, times = np.unique(np.concatenate(positive), return_counts=True)
+        n = np.zeros(len(value), np.int64)
+        n[np.searchsorted(value, known)] = times
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n), pa.array(everywhere)], ["feature", "n", "everywhere"])
 
     def run(batches):
-        seen, size = [], 0
+        seen, positive, size = [], [], 0
         for batch in batches:
-            for _, _, data, offsets in words.text_blocks(batch, "text"):
+            flags = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, data, offsets in words.text_blocks(batch, "text"):
                 row, value = features_of(data, offsets)
                 order = np.lexsort((value, row))
                 row, value = row[order], value[order]
                 fresh = np.ones(len(row), bool)
                 fresh[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
                 seen.append(value[fresh])
+                positive.append(value[fresh & flags[i:j][row]])
                 size += len(seen[-1])
                 if size > AT_ONCE:
-                    yield counts(seen)
-                    seen, size = [], 0
+                    yield counts(seen, positive)
+                    seen, positive, size = [], [], 0
         if seen:
-            yield counts(seen)
-
-    return docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-
+            yield counts(seen, positive)
 
-def _counted_listed(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(place, n) for listed features; place -1 counts the documents."""
-
-    def run(batches):
-        lookup, total, rows = Lookup(hashes), np.zeros(len(hashes), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, _, data, offsets in words.text_blocks(batch, "text"):
-                total += np.bincount(lookup.distinct(*features_of(data, offsets))[1], minlength=len(hashes))
-        place = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(place, -1)), pa.array(np.append(total[place], rows))], ["place", "n"]
-        )
-
-    return docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    found = docs.select("positive", "text").mapInArrow(run, "feature long, n long, everywhere long")
+    return found.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
 
 
 def _listed(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
@@ -181,7 +168,6 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     positives: int = POSITIVES,
-    candidates: int = CANDIDATES,
     features: int = FEATURES,
     sample: int = SAMPLE,
 ) -> tuple[np.ndarray, np.ndarray, float]:
@@ -202,26 +188,17 @@ def train(
         .withColumn("positive", F.coalesce("positive", F.lit(False)))
     )
     confirmed = flagged.where("positive")
-    top = _counted(confirmed).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature").limit(candidates).toPandas()
-    if not len(top):
+    rows, known = flagged.agg(F.count(F.lit(1)), F.count(F.when(F.col("positive"), 1))).first()
+    if not known:
         return none
-    hashes, counts = top["feature"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    by = np.argsort(hashes)
-    hashes, counts = hashes[by], counts[by]
-    seen = _counted_listed(flagged, hashes).toPandas()
-    everywhere = np.zeros(len(hashes))
-    listed = seen[seen["place"] >= 0]
-    everywhere[listed["place"]] = listed["n"]
-    rows = int(seen.loc[seen["place"] < 0, "n"].sum())
-    known = confirmed.count()
     # The share of toxic texts among those with the feature, for one deviation fewer confirmed ones.
-    purity = share * ((counts - np.sqrt(counts)) / known) / np.maximum(everywhere / rows, 1 / rows)
-    gain = np.where(purity >= PURITY, counts * np.log(np.maximum(purity / share, 1e-9)), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
-    chosen = chosen[gain[chosen] > 0]
-    if not len(chosen):
+    purity = share * ((F.col("n") - F.sqrt("n")) / known) / (F.col("everywhere") / rows)
+    pure = _counted(flagged).where(F.col("n") >= SUPPORT).withColumn("purity", purity).where(F.col("purity") >= PURITY)
+    gain = pure.select("feature", (F.col("n") * F.log(F.col("purity") / share)).alias("gain")).where("gain > 0")
+    top = gain.orderBy(F.desc("gain"), F.col("feature") < 0, "feature").limit(features).toPandas()
+    if not len(top):
         return none
-    hashes = hashes[chosen]
+    hashes = np.sort(top["feature"].to_numpy().view(np.uint64))
     modulus = 1 << 30
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(modulus)) < int(min(1.0, sample / rows) * modulus)
     positive = [r.places for r in _listed(confirmed, hashes).toLocalIterator()]
