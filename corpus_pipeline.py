@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from epifold.llm import minhash, mixing, suffix, toxicity
 from epifold.llm.q_pieces import model_path, round_trip
 from epifold.llm.q_toxicity import THRESHOLD
-from epifold.sources.storage import scratch_path
+from epifold.sources.storage import Scratch, scratch_path
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
@@ -28,15 +28,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; rows without ``doc_id`` stay, of rows with one id one stays."""
-    known = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    """One document of each group; rows without ``doc_id`` stay, of rows with one id and one text one stays.
+
+    Different texts with one id are different documents.
+    """
+    numbered = _numbered(spark, docs)
+    known = minhash.near_duplicates(numbered.select(F.col("_number").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
     kept = known.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"))
+    chosen = numbered.join(kept, numbered["_number"] == F.col("_kept"))
     first = F.row_number().over(Window.partitionBy("_kept").orderBy("text"))
     one = chosen.withColumn("_first", first).where("_first = 1").select(*_columns(docs))
     return one.unionByName(docs.where("doc_id is null"))
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows that have an id, with a ``_number`` for each id and text, in the order of the ids."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_print": F.md5(text.cast("binary"))})
+    if rows.groupBy("_id").agg(F.min("_print").alias("a"), F.max("_print").alias("b")).where("a <> b").isEmpty():
+        return rows.withColumn("_number", F.col("_id"))
+    pairs = rows.select("_id", "_print").distinct().orderBy("_id", "_print")
+    # Written, so that the numbers are the same whenever they are read.
+    numbers = Scratch(spark, "numbers").keep(pairs.withColumn("_number", F.monotonically_increasing_id()))
+    return rows.join(numbers, ["_id", "_print"])
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of long passages that occur elsewhere too."""
     cut = suffix.without_repeats(docs)
