@@ -6,7 +6,7 @@ from importlib import import_module
 
 from epifold.llm import registry
 
-MODULES = ("q_minhash", "q_suffix", "q_pieces", "q_toxicity", "q_language", "q_quality", "q_neighbours", "q_mixing", "q_chat", "q_shards", "q_whitening")
+MODULES = ("q_minhash", "q_suffix", "q_pieces", "q_toxicity", "q_language", "q_quality", "q_neighbours", "q_mixing", "q_chat", "q_shards", "q_whitening", "q_negatives", "q_boosting")
 
 
 def load() -> tuple[dict[str, registry.Build], dict[str, str]]:
