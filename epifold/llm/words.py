@@ -7,6 +7,7 @@ No text is copied to Python objects: a word is a pair of byte positions and a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,10 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 #: Bytes hashed at once.
 CHUNK = 1 << 17
+#: Longest span hashed by a polynomial modulo 2^64. Its factors of two add up over
+#: long patterned spans, so that those of a thousand bytes can clash; longer
+#: spans take a digest.
+SHORT = 64
 
 # The white space that separates words.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -56,6 +61,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; spans are sorted and apart."""
+    out = np.empty(len(starts), np.uint64)
+    long = ends - starts > SHORT
+    if long.any():
+        held = memoryview(np.ascontiguousarray(data))
+        digests = [hashlib.blake2b(held[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = np.frombuffer(b"".join(digests), np.uint64)
+        out[~long] = _short_spans(data, starts[~long], ends[~long])
+        return out
+    return _short_spans(data, starts, ends)
+
+
+def _short_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
