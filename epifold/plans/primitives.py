@@ -36,7 +36,7 @@ from epifold.operators.joins import join_per_key
 from epifold.plans import fixtures as X
 from epifold.plans import registers as R
 from epifold.plans.registry import part, query
-from epifold.sources import files, schemas
+from epifold.sources import files, infer, schemas
 from epifold.sources.literals import literal_table
 from epifold.sources.storage import materialise_once, scratch_path
 
@@ -116,6 +116,64 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "src2_inferred_types",
+    "SRC-2",
+    sql="""
+SELECT o_orderkey, CAST(o_custkey AS INT) AS o_custkey, o_orderstatus, o_totalprice,
+       CAST(o_orderdate AS DATE) AS o_orderdate, lpad(CAST(o_custkey % 100 AS VARCHAR), 3, '0') AS code,
+       CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS closed,
+       CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey AS DOUBLE) / 4 END AS quarter,
+       o_orderkey * 10000000000 AS wide, CAST(NULL AS VARCHAR) AS nothing
+FROM (SELECT CAST(o_orderkey AS INT) AS o_orderkey, * EXCLUDE (o_orderkey) FROM orders) o""",
+)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "untyped")
+    orders = X.table(spark, sf_dir, "orders")
+    untyped = orders.select(
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        "o_totalprice",
+        F.col("o_orderdate").cast("date").alias("o_orderdate"),
+        F.lpad((F.col("o_custkey") % 100).cast("string"), 3, "0").alias("code"),
+        F.when(F.col("o_orderstatus") != "P", F.when(F.col("o_orderstatus") == "F", "T").otherwise("F")).alias("closed"),
+        F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey") / F.lit(4.0)).alias("quarter"),
+        (F.col("o_orderkey") * 10000000000).alias("wide"),
+        F.lit(None).cast("string").alias("nothing"),
+    )
+    files.write_csv_gzip(untyped, path)
+    return infer.read_csv_inferred(spark, path, partitions=spark.sparkContext.defaultParallelism)
+
+
+@query(
+    "src2_type_states",
+    "SRC-2",
+    sql="""
+SELECT k AS part, name, CAST(count(v) AS BIGINT) AS n_known, CAST(count(*) - count(v) AS BIGINT) AS n_missing,
+       CASE WHEN count(v) = 0 THEN 'text'
+            WHEN bool_and(regexp_full_match(v, '[+-]?(0|[1-9][0-9]*)')) THEN 'integer'
+            WHEN bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) THEN 'date' ELSE 'text' END AS type
+FROM (SELECT k, unnest(['case_id', 'age', 'death_date', 'booster', 'mixed']) AS name,
+             unnest([CAST(case_id AS VARCHAR), CAST(age AS VARCHAR), CAST(death_date AS VARCHAR), booster,
+                     CASE WHEN k = 2 AND seq % 1000 = 0 THEN '01' ELSE CAST(seq AS VARCHAR) END]) AS v
+      FROM (SELECT r.*, k FROM r_linelist r, (VALUES (0), (1), (2)) t(k) WHERE k = 0 OR k = 1 + seq % 2)) u
+GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    # States of two halves, and what they merge to for the whole (part 0).
+    rows = linelist_rows(spark, sf_dir).withColumn("part", (1 + F.col("seq") % 2).cast("int"))
+    mixed = F.when((F.col("part") == 2) & (F.col("seq") % 1000 == 0), "01").otherwise(F.col("seq").cast("string"))
+    text = rows.select(
+        "part", *[F.col(c).cast("string").alias(c) for c in ("case_id", "age", "death_date", "booster")], mixed.alias("mixed")
+    )
+    halves = infer.column_states(text, by=["part"])
+    whole = infer.merge_states(halves).select(F.lit(0).alias("part"), "*")
+    return halves.unionByName(whole).select(
+        "part", "name", "n_known", "n_missing", infer.type_name("fits").alias("type")
+    )
+
+
 @query(
     "src3_unfit_lines",
     "SRC-3",
