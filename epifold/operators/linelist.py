@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +14,7 @@ from epifold.operators.joins import join_per_key
 from epifold.operators.series import Calendar, complete_series, running_sums
 from epifold.sources.files import POSITION
 from epifold.sources.literals import literal_table
+from epifold.sources.manifest import materialise_current
 from epifold.sources.storage import materialise_once
 
 
@@ -49,6 +50,7 @@ def ingest_linelist(
     names_a: Mapping[str, str],
     names_b: Mapping[str, str] | None = None,
     order: str | None = None,
+    current: bool = False,
 ) -> DataFrame:
     """Union two differently laid out line lists and write the result once.
 
@@ -56,15 +58,23 @@ def ingest_linelist(
     the common column named by ``order``, else the position that
     ``files.read_csv(position=True)`` gives: first source first, then by file
     name and place in the file. Frames with neither are refused. It is fixed by
-    the write, and later reads of the table see the same values.
+    the write, and later reads of the table see the same values. With
+    ``current`` a table written from other files, or under other names, is not
+    taken for this one: it is written anew.
     """
     names_b = names_b or names_a
+
+    def stored(build: Callable[[], DataFrame]) -> DataFrame:
+        if not current:
+            return materialise_once(build(), path)
+        chosen = {"a": dict(names_a), "b": dict(names_b), "order": order}
+        return materialise_current(build, path, [a, b], chosen)
+
     if order is not None:
-        both = _union(a, b, names_a, names_b, ()).drop("_source").withColumnRenamed(order, "seq")
-        return materialise_once(both, path)
+        return stored(lambda: _union(a, b, names_a, names_b, ()).drop("_source").withColumnRenamed(order, "seq"))
     if not all(c in df.columns for df in (a, b) for c in POSITION):
         raise ValueError("the order of arrival is not known: name a column or read with position=True")
-    return materialise_once(_arrival(_union(a, b, names_a, names_b, POSITION)), path)
+    return stored(lambda: _arrival(_union(a, b, names_a, names_b, POSITION)))
 
 
 def apply_overrides(
