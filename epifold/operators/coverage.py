@@ -7,7 +7,6 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epifold import dims
@@ -241,25 +240,20 @@ def earliest_doses(
     Of the records of one person and dose those at the earliest date count, all
     of them if several share it. ``null_policy="drop_group"`` drops a person's
     dose as soon as one of its dates is unknown, ``"ignore"`` only the records
-    without a date. Equal records are counted before the window, so a person
-    with very many records brings at most one row per date and place into it.
+    without a date. Earliest date and unknown dates are an aggregate that merges
+    before the shuffle, joined back to the records; a person with very many
+    records or dates makes no task of their own.
     """
-    rows = df.where(F.col("province") != unknown).withColumn(
-        "dose_name", recode("dose_name", aliases, F.col("dose_name"))
+    rows = (
+        df.where(F.col("province") != unknown)
+        .withColumn("dose_name", recode("dose_name", aliases, F.col("dose_name")))
+        .select("person_id", "dose_name", "dose_date", "age_group", "province")
     )
-    counts = rows.groupBy("person_id", "dose_name", "dose_date", "age_group", "province").agg(
-        F.count(F.lit(1)).alias("n")
+    first = rows.groupBy("person_id", "dose_name").agg(
+        F.min("dose_date").alias("dose_date"), F.max(F.col("dose_date").isNull()).alias("_undated")
     )
-    w = W.partitionBy("person_id", "dose_name")
-    marked = counts.withColumns(
-        {
-            "_first": F.min("dose_date").over(w),
-            "_undated": F.max(F.col("dose_date").isNull()).over(w),
-        }
-    )
-    kept = marked.where(F.col("dose_date") == F.col("_first"))
     if null_policy == "drop_group":
-        kept = kept.where(~F.col("_undated"))
-    return kept.groupBy("age_group", "dose_name", "dose_date", "province").agg(
-        F.sum("n").alias("n")
-    )
+        first = first.where(~F.col("_undated"))
+    dated = first.where(F.col("dose_date").isNotNull()).drop("_undated")
+    kept = join_per_key(rows.where(F.col("dose_date").isNotNull()), dated, ["person_id", "dose_name", "dose_date"], "left_semi")
+    return kept.groupBy("age_group", "dose_name", "dose_date", "province").agg(F.count(F.lit(1)).alias("n"))

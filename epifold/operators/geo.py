@@ -9,6 +9,47 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epifold.sources.literals import literal_table
+from epifold.sources.storage import cut
+
+
+def ring_edges(vertices: DataFrame) -> DataFrame:
+    """``region, x0, y0, x1, y1`` for each two vertices that follow each other in a ring."""
+    ring = W.partitionBy("region", "ring").orderBy("idx")
+    edges = vertices.select(
+        "region",
+        F.col("x").alias("x0"),
+        F.col("y").alias("y0"),
+        F.lead("x").over(ring).alias("x1"),
+        F.lead("y").over(ring).alias("y1"),
+    )
+    return edges.where(F.col("x1").isNotNull())
+
+
+def split_ring_edges(vertices: DataFrame, parts: int | None = None) -> DataFrame:
+    """The edges of :func:`ring_edges` for rings too long for one task.
+
+    Vertices are dealt to ranges of region, ring and index, which may cut a ring
+    anywhere. Edges inside a range come from a window over it. Of every ring and
+    range the first and last vertex are kept, and the edges between ranges join
+    the last one with the first one of the ring's next range.
+    """
+    spark = vertices.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = vertices.repartitionByRange(parts, "region", "ring", "idx").withColumn("_part", F.spark_partition_id())
+    # Fixed by a checkpoint, as the bounds of ranges are drawn anew with every run.
+    ranged = cut(ranged.select("region", "ring", "_part", "idx", "x", "y"))
+    inside = W.partitionBy("region", "ring", "_part").orderBy("idx")
+    edges = ranged.select(
+        "region", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(inside).alias("x1"), F.lead("y").over(inside).alias("y1")
+    )
+    point = F.struct("x", "y")
+    ends = ranged.groupBy("region", "ring", "_part").agg(F.min_by(point, "idx").alias("_first"), F.max_by(point, "idx").alias("_last"))
+    # A row per ring and range it lies in.
+    beside = W.partitionBy("region", "ring").orderBy("_part")
+    crossing = ends.withColumn("_next", F.lead("_first").over(beside)).select(
+        "region", F.col("_last.x").alias("x0"), F.col("_last.y").alias("y0"), F.col("_next.x").alias("x1"), F.col("_next.y").alias("y1")
+    )
+    return edges.unionByName(crossing).where(F.col("x1").isNotNull())
 
 
 def polygon_centroids(
@@ -16,6 +57,7 @@ def polygon_centroids(
     overrides: Sequence[tuple[str, float | None, float | None]] = (),
     moved: Sequence[tuple[float, float, float, float]] = (),
     digits: int = 2,
+    split: bool = False,
 ) -> DataFrame:
     """Area centroid per region as ``region, x, y, area``.
 
@@ -25,17 +67,10 @@ def polygon_centroids(
     coordinate as it is; ``moved`` lists (x, y, new x, new y) for points that
     are at (x, y) when rounded to ``digits``.
 
-    A ring is sorted in one task, which spills; edges are summed with partial
-    aggregation.
+    A ring is sorted in one task, which spills; with ``split`` a ring is cut
+    where needed. Edges are summed with partial aggregation.
     """
-    ring = W.partitionBy("region", "ring").orderBy("idx")
-    edges = vertices.select(
-        "region",
-        F.col("x").alias("x0"),
-        F.col("y").alias("y0"),
-        F.lead("x").over(ring).alias("x1"),
-        F.lead("y").over(ring).alias("y1"),
-    ).where(F.col("x1").isNotNull())
+    edges = split_ring_edges(vertices) if split else ring_edges(vertices)
     cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
     sums = edges.groupBy("region").agg(
         F.sum(cross).alias("a2"),

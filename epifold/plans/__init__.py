@@ -8,6 +8,6 @@ from epifold.plans.registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    for module in ("registers", "primitives"):
+    for module in ("registers", "primitives", "stored"):
         import_module(f"epifold.plans.{module}")
     return QUERIES
