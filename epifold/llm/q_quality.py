@@ -32,6 +32,7 @@ WITH d AS (
   UNION ALL SELECT r, lang, source, 'symbol_share', 1000 * n_symbols // n_words FROM b WHERE NOT base_failed
   UNION ALL SELECT r, lang, source, 'line_share', 1000 * n_dup_lines // n_words FROM b WHERE NOT base_failed
   UNION ALL SELECT r, lang, source, 'repeat_share', 1000 * n_repeat_words // n_words FROM b WHERE NOT base_failed
+  UNION ALL SELECT r, lang, source, 'length', n_words FROM b WHERE NOT base_failed
 ), sketch AS (
   SELECT lang, source, measure, v - v % (CAST(1 AS BIGINT) << greatest(length(bin(v)) - 6, 0)) AS low, count(*) AS n
   FROM m GROUP BY ALL
@@ -42,22 +43,29 @@ WITH d AS (
 ), running AS (
   SELECT *, sum(n) OVER (g ORDER BY low) AS until, sum(n) OVER g AS size FROM levels
   WINDOW g AS (PARTITION BY level, lang, source, measure)
+), spec(measure, factor, tail, event, both_sides) AS (
+  VALUES ('word_length', 100, 90, 20, true), ('symbol_share', 1000, 90, 1, false),
+         ('line_share', 1000, 95, 1, false), ('repeat_share', 1000, 95, 1, false), ('length', 0, 90, 0, true)
 ), q AS (
-  SELECT level, lang, source, measure, max(size) AS size, min(low) FILTER (4 * until >= size) AS q1,
-         min(low) FILTER (4 * until >= 3 * size) AS q3
-  FROM running GROUP BY level, lang, source, measure
-), slack(measure, s, both_sides) AS (
-  VALUES ('word_length', 50, true), ('symbol_share', 10, false), ('line_share', 10, false), ('repeat_share', 30, false)
+  SELECT level, lang, source, measure, max(size) AS size, min(low) FILTER (100 * until >= (100 - tail) * size) AS q_low,
+         min(low) FILTER (100 * until >= 50 * size) AS q_mid, min(low) FILTER (100 * until >= tail * size) AS q_high
+  FROM running JOIN spec USING (measure) GROUP BY level, lang, source, measure
 ), chosen AS (
-  SELECT a.lang, a.source, a.measure, both_sides, s,
-         CASE WHEN a.size >= 200 THEN a.q1 WHEN l.size >= 200 THEN l.q1 ELSE e.q1 END AS q1,
-         CASE WHEN a.size >= 200 THEN a.q3 WHEN l.size >= 200 THEN l.q3 ELSE e.q3 END AS q3
+  SELECT a.lang, a.source, a.measure,
+         CASE WHEN a.size >= 200 THEN a.q_low WHEN l.size >= 200 THEN l.q_low ELSE e.q_low END AS q_low,
+         CASE WHEN a.size >= 200 THEN a.q_mid WHEN l.size >= 200 THEN l.q_mid ELSE e.q_mid END AS q_mid,
+         CASE WHEN a.size >= 200 THEN a.q_high WHEN l.size >= 200 THEN l.q_high ELSE e.q_high END AS q_high
   FROM q a JOIN q l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM a.lang AND l.measure = a.measure
-  JOIN q e ON e.level = 3 AND e.measure = a.measure JOIN slack ON slack.measure = a.measure WHERE a.level = 1
+  JOIN q e ON e.level = 3 AND e.measure = a.measure WHERE a.level = 1
+), bounds AS (
+  SELECT h.*, both_sides, factor * event // greatest(n.q_low, 1) AS least
+  FROM chosen h JOIN spec USING (measure)
+  JOIN chosen n ON n.measure = 'length' AND n.lang IS NOT DISTINCT FROM h.lang AND n.source IS NOT DISTINCT FROM h.source
+  WHERE h.measure <> 'length'
 ), out_of AS (
-  SELECT DISTINCT m.r FROM m JOIN chosen h
+  SELECT DISTINCT m.r FROM m JOIN bounds h
   ON h.lang IS NOT DISTINCT FROM m.lang AND h.source IS NOT DISTINCT FROM m.source AND h.measure = m.measure
-  WHERE m.v > q3 + 6 * greatest(q3 - q1, s) OR both_sides AND m.v < q1 - 6 * greatest(q3 - q1, s)
+  WHERE m.v > q_high + 6 * greatest(q_high - q_mid, least) OR both_sides AND m.v < q_low - 6 * greatest(q_mid - q_low, least)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND out_of.r IS NULL AS kept

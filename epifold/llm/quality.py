@@ -6,8 +6,14 @@ measure a quantile sketch is kept: the counts of logarithmic buckets with
 ``STEPS`` linear steps each, so that any value is known to one part in
 ``STEPS``. Sketches merge by adding counts: a group with fewer than
 ``SMALL_GROUP`` texts takes the merged sketch of its language, or else of all
-texts. A text is rejected where a measure lies outside the quartiles by more than
-``REACH`` times their distance, which is at least the measure's ``slack``.
+texts.
+
+A text is rejected where a measure lies beyond its tail quantile by more than
+``REACH`` times the distance from the median to that quantile. The ``tail`` is the
+percentage that may be expected to hold sound texts only. Where a group is nearly
+constant that distance is taken as what one ``event`` (a symbol, a line, a word of
+twenty letters) makes in the group's short texts, those at the tenth percentile
+of its lengths: it too is learnt, from a sketch of the lengths.
 
 Defined results: a NULL text has no words and fails the fixed rules. NULL
 languages and sources are groups of their own. Rows are judged one by one, so
@@ -17,6 +23,9 @@ an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,13 +40,17 @@ WINDOW = 5
 STEPS = 32
 SMALL_GROUP = 200
 REACH = 6
-#: Measure: (numerator, factor, least distance of quartiles, whether low values are rejected too).
+#: Measure: (numerator, factor, tail, event, whether low values are rejected too).
 MEASURES = {
-    "word_length": ("word_chars", 100, 50, True),
-    "symbol_share": ("n_symbols", 1000, 10, False),
-    "line_share": ("n_dup_lines", 1000, 10, False),
-    "repeat_share": ("n_repeat_words", 1000, 30, False),
+    "word_length": ("word_chars", 100, 90, 20, True),
+    "symbol_share": ("n_symbols", 1000, 90, 1, False),
+    "line_share": ("n_dup_lines", 1000, 95, 1, False),
+    "repeat_share": ("n_repeat_words", 1000, 95, 1, False),
 }
+#: The sketch of lengths, and the percentages at which sketches are read.
+LENGTH = "length"
+SHORT = 10
+LEVELS = sorted({SHORT, 50} | {p for _, _, tail, _, _ in MEASURES.values() for p in (tail, 100 - tail)})
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 IS_SYMBOL = np.zeros(256, bool)
@@ -117,14 +130,17 @@ def bucket(value: Column) -> Column:
     return value - F.pmod(value, unit)
 
 
-def measures(known: DataFrame) -> Column:
+def measure(name: str) -> Column:
+    """A measure of a row with the counts, as a whole number."""
+    if name == LENGTH:
+        return F.col("n_words")
+    count, factor, *_ = MEASURES[name]
+    return F.floor(factor * F.col(count) / F.greatest("n_words", F.lit(1))).cast("long")
+
+
+def measures() -> Column:
     """An array of (measure, value) for a row with the counts."""
-    return F.array(
-        *(
-            F.struct(F.lit(name).alias("measure"), F.floor(factor * F.col(count) / F.greatest("n_words", F.lit(1))).cast("long").alias("value"))
-            for name, (count, factor, _, _) in MEASURES.items()
-        )
-    )
+    return F.array(*(F.struct(F.lit(name).alias("measure"), measure(name).alias("value")) for name in (*MEASURES, LENGTH)))
 
 
 def sketches(known: DataFrame) -> DataFrame:
@@ -133,7 +149,7 @@ def sketches(known: DataFrame) -> DataFrame:
     Counts are taken before the shuffle, so a language or source that holds
     most rows is no heavier than others.
     """
-    value = known.where("not base_failed").select("lang", "source", F.explode(measures(known)).alias("m"))
+    value = known.where("not base_failed").select("lang", "source", F.explode(measures()).alias("m"))
     return (
         value.select("lang", "source", "m.measure", bucket(F.col("m.value")).alias("low"))
         .groupBy("lang", "source", "measure", "low")
@@ -146,26 +162,27 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "low").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, measure, size, q1, q2, q3) from the running counts of a sketch."""
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, size, and q<p> for the ``LEVELS``) from the running counts of a sketch."""
     group = Window.partitionBy(*keys, "measure")
     running = sketch.withColumn("until", F.sum("n").over(group.orderBy("low"))).withColumn("size", F.sum("n").over(group))
     return running.groupBy(*keys, "measure").agg(
         F.first("size").alias("size"),
-        *(F.min(F.when(4 * F.col("until") >= i * F.col("size"), F.col("low"))).alias(f"q{i}") for i in (1, 2, 3)),
+        *(F.min(F.when(100 * F.col("until") >= p * F.col("size"), F.col("low"))).alias(f"q{p}") for p in LEVELS),
     )
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, and a lower and upper bound per measure) for every group."""
-    own = quartiles(sketch, "lang", "source")
-    language = quartiles(merged(sketch, "lang"), "lang").select("lang", "measure", F.struct("size", "q1", "q2", "q3").alias("by_lang"))
+    known = ("size", *(f"q{p}" for p in LEVELS))
+    own = quantiles(sketch, "lang", "source")
+    language = quantiles(merged(sketch, "lang"), "lang").select("lang", "measure", F.struct(*known).alias("by_lang"))
     # One row per measure.
-    everywhere = quartiles(merged(sketch)).select("measure", F.struct("size", "q1", "q2", "q3").alias("by_all"))
+    everywhere = quantiles(merged(sketch)).select("measure", F.struct(*known).alias("by_all"))
     found = (
         own.withColumnRenamed("lang", "l")
         .join(language, (F.col("l").eqNullSafe(F.col("lang"))) & (own["measure"] == language["measure"]))
-        .select("l", "source", own["measure"], F.struct("size", "q1", "q2", "q3").alias("own"), "by_lang")
+        .select("l", "source", own["measure"], F.struct(*known).alias("own"), "by_lang")
         .join(everywhere, "measure")
         .select(
             F.col("l").alias("lang"),
@@ -177,29 +194,49 @@ def thresholds(sketch: DataFrame) -> DataFrame:
             .alias("q"),
         )
     )
+    wide = found.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in (*MEASURES, LENGTH)))
+    short = F.greatest(F.col(f"{LENGTH}.q{SHORT}"), F.lit(1))
     bounds = []
-    for name, (_, _, slack, both) in MEASURES.items():
-        spread = REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(slack))
-        here = F.col("measure") == name
-        bounds.append(F.max(F.when(here, F.col("q.q3") + spread)).alias(f"high_{name}"))
+    for name, (_, factor, tail, event, both) in MEASURES.items():
+        least = F.floor(F.lit(factor * event) / short).cast("long")
+        high, middle, low = (F.col(f"{name}.q{p}") for p in (tail, 50, 100 - tail))
+        bounds.append((high + REACH * F.greatest(high - middle, least)).alias(f"high_{name}"))
         if both:
-            bounds.append(F.max(F.when(here, F.col("q.q1") - spread)).alias(f"low_{name}"))
-    return found.groupBy("lang", "source").agg(*bounds)
+            bounds.append((low - REACH * F.greatest(middle - low, least)).alias(f"low_{name}"))
+    return wide.select("lang", "source", *bounds)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """(doc_id, the counts, base_failed, kept) per row of ``docs``."""
+def _limited(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the counts and their group's bounds, and for each measure whether it rejects a row."""
     known = cut(
         counts(docs).withColumn(
             "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
         )
     )
     limits = thresholds(sketches(known)).select(F.col("lang").alias("l"), F.col("source").alias("s"), "*").drop("lang", "source")
-    verdict = ~F.col("base_failed")
-    for name, (count, factor, _, both) in MEASURES.items():
-        value = F.floor(factor * F.col(count) / F.greatest("n_words", F.lit(1)))
-        verdict = verdict & (value <= F.col(f"high_{name}"))
-        if both:
-            verdict = verdict & (value >= F.col(f"low_{name}"))
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
-    return known.join(limits, same, "left").select("doc_id", *COUNTS, "base_failed", F.coalesce(verdict, F.lit(False)).alias("kept"))
+    outside = {}
+    for name, (*_, both) in MEASURES.items():
+        beyond = measure(name) > F.col(f"high_{name}")
+        if both:
+            beyond = beyond | (measure(name) < F.col(f"low_{name}"))
+        outside[name] = F.coalesce(~F.col("base_failed") & beyond, F.lit(False))
+    return known.join(limits, same, "left"), outside
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """(doc_id, the counts, base_failed, kept) per row of ``docs``."""
+    rows, outside = _limited(docs)
+    kept = ~F.col("base_failed") & ~reduce(or_, outside.values())
+    return rows.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"))
+
+
+def rejections(docs: DataFrame) -> DataFrame:
+    """(lang, source, n, base_failed, and rows rejected by each measure) per group."""
+    rows, outside = _limited(docs)
+    return rows.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("base_failed").alias("base_failed"),
+        *(F.count_if(o).alias(name) for name, o in outside.items()),
+        *(F.first(f"high_{name}").alias(f"high_{name}") for name in MEASURES),
+    )
