@@ -75,3 +75,21 @@ def test_word_spans_and_hashes():
     hashed = words.hash_spans(data, starts, ends)
     assert len(set(hashed.tolist())) == len(set(found))
     assert all((hashed[i] == hashed[j]) == (found[i] == found[j]) for i in range(7) for j in range(7))
+
+
+def opposites(n):
+    """Two texts of n letters that a polynomial modulo a power of two does not tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_patterned_words_are_told_apart(frame):
+    rows = []
+    for n in (16, 64, 65, 128, 512, 1024, 4096):
+        a, b = opposites(n)
+        rows += [(10 * n + 1, a), (10 * n + 2, b), (10 * n + 3, f"x {a} x {b} x"), (10 * n + 4, f"x {b} x {a} x")]
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        starts = np.array([0, n + 1, 2 * n + 2])
+        one, two, three = words.hash_spans(data, starts, starts + n).tolist()
+        assert one == three != two
+    assert sorted((tuple(r) for r in minhash.near_duplicates(frame(rows), 2, 80).collect()), key=str) == brute.near_duplicates(rows, 2, 80)

@@ -41,7 +41,7 @@ def test_one_document_of_each_group_stays(steps):
 
 
 def test_long_repeats_go(steps):
-    want = [(i, rest.decode("utf-8", "ignore")) for i, *_, rest in brute.without_repeats(rows(steps[2]), 400)]
+    want = [(i, rest.decode("utf-8", "ignore")) for i, *_, rest in brute.without_repeats(rows(steps[2]), corpus_pipeline.PASSAGE_BYTES)]
     assert sorted(rows(steps[3])) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in steps[3].collect())
 
@@ -89,3 +89,24 @@ def test_run_and_registration(spark):
     assert [next(n for n in builds if n.startswith(f"op{k}_")) for k in (1, 2, 4, 5, 6, 7, 8, 9, 10)]
     assert set(sql) <= set(builds)
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered"]
+
+
+def test_no_column_is_overwritten(spark, frame):
+    """Columns with the names that the stages use for themselves come back as they were."""
+    names = ["_toxicity", "__toxicity", "_print", "_id", "_number", "row", "id", "print", "number", "kept", "first", "times", "n", "draw", "copy", "k1", "_0"]
+    rows = [(i, f"text {i} " * 30, "en", "s", 1, *(f"{n}{i}" for n in names)) for i in range(6)]
+    # Two texts with one id, so that documents are numbered anew.
+    rows.append((5, "another text " * 30, "en", "s", 1, *(f"{n}x" for n in names)))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    folder = corpus_pipeline.scratch_path(spark, "clash")
+    kind = [(k, 1, int(k < 30)) for k in range(60)]
+    spark.createDataFrame(kind, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got
+        for r in got:
+            mark = "x" if r.text.startswith("another") else r.doc_id
+            assert [r[n] for n in names] == [f"{n}{mark}" for n in names]

@@ -45,5 +45,40 @@ def test_buckets_keep_one_part_in_steps(spark):
         assert r.b <= r.v and (r.v - r.b) * quality.STEPS <= r.v and (r.b == r.v or r.v >= 64)
 
 
+def test_bounds_follow_the_tails_of_a_group(frame):
+    """Three sources: short texts with few signs, long ones without any, and many signs as a rule."""
+    rng = np.random.default_rng(8)
+
+    def text(n, signs):
+        w = [f"w{k}" for k in rng.integers(0, 5000, n)]
+        for k in rng.integers(0, n, signs):
+            w[k] += "&"
+        return " ".join(w)
+
+    rows = [(i, text(40, int(rng.integers(0, 3) == 0)), "en", "short", 1) for i in range(400)]
+    rows += [(1000 + i, text(400, 0), "en", "long", 1) for i in range(400)]
+    rows += [(2000 + i, text(100, int(rng.integers(5, 40))), "en", "signs", 1) for i in range(400)]
+    # As many signs per word as the third source has.
+    rows += [(9000, text(400, 120), "en", "long"), (9001, text(40, 40), "en", "short"), (9002, text(100, 39), "en", "signs")]
+    docs = frame(rows)
+    kept = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert [kept[i] for i in (9000, 9001, 9002)] == [False, False, True]
+    assert all(kept[r[0]] for r in rows if r[0] < 9000)
+    by_source = {r.source: r for r in quality.rejections(docs).collect()}
+    assert len({by_source[s].high_symbol_share for s in ("short", "long", "signs")}) == 3
+    assert [by_source[s].symbol_share for s in ("short", "long", "signs")] == [1, 1, 0]
+    assert {s: (r.n, r.base_failed) for s, r in by_source.items()} == {"short": (401, 0), "long": (401, 0), "signs": (401, 0)}
+
+
+def test_patterned_lines_are_told_apart(frame):
+    from test_minhash import opposites
+
+    a, b = opposites(2048)
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}"), (3, " ".join([a, "x", "y", "z", "v", b, "x", "y", "z", "v"]))]
+    got = {r.doc_id: tuple(r[c] for c in quality.COUNTS) for r in quality.judge(frame(rows)).collect()}
+    assert got == {i: counts(t) for i, t in rows}
+    assert got[1][3] == 0 and got[2][3] == 1 and got[3][4] == 0
+
+
 def test_empty_table(frame):
     assert quality.judge(frame([])).collect() == []

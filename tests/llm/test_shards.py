@@ -1,9 +1,6 @@
-import hashlib
-
 import numpy as np
 import pytest
 
-from epifold.llm.q_shards import op3_shards
 from epifold.llm.shards import permute, read_shards, write_shards
 
 
@@ -48,11 +45,3 @@ def test_empty_table(spark, frame, tmp_path):
     path = str(tmp_path / "none")
     assert write_shards(frame([]), path) == 0
     assert read_shards(spark, path).collect() == []
-
-
-def test_whole_table(spark, sf_dir):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    want = sorted((i, k, len(p), hashlib.sha256(p).hexdigest()) for i, k, p in pieces(rows, 512))
-    got = op3_shards(spark, sf_dir).collect()
-    assert sorted((r.doc_id, r.part, r.n_tokens, r.ids_sha256) for r in got) == want
-    assert sorted(r.slot for r in got) == list(range(len(want)))
