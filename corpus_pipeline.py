@@ -2,6 +2,8 @@
 
 Every stage keeps the columns of documents but the last, which returns digests
 of the encoded texts. A text that is repeated by the mixture is a row each time.
+What a stage adds for itself stands beside a row's columns, never among them, so
+that no column of documents is overwritten, whatever its name.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from epifold.sources.storage import Scratch, scratch_path
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
+#: Passages that repeat over so many bytes are cut: some forty words, so that one
+#: of over fifty words is found even if its words are short.
+PASSAGE_BYTES = 200
 
 ORACLE_SQL = None
 
@@ -23,8 +28,11 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; a NULL text stays."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.scored(docs, toxicity.train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < THRESHOLD).select(*_columns(docs))
+    name = "_toxicity"
+    while name in map(str.lower, docs.columns):
+        name = f"_{name}"
+    scored = toxicity.scored(docs, toxicity.train(docs, labels), name)
+    return scored.where(F.col(name) < THRESHOLD).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,29 +41,35 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Different texts with one id are different documents.
     """
     numbered = _numbered(spark, docs)
-    known = minhash.near_duplicates(numbered.select(F.col("_number").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
-    kept = known.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = numbered.join(kept, numbered["_number"] == F.col("_kept"))
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy("text"))
-    one = chosen.withColumn("_first", first).where("_first = 1").select(*_columns(docs))
+    known = minhash.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY_PERCENT)
+    kept = known.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept")).distinct()
+    chosen = numbered.join(kept, numbered["number"] == F.col("kept"))
+    first = F.row_number().over(Window.partitionBy("kept").orderBy("text"))
+    one = chosen.withColumn("first", first).where("first = 1").select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows that have an id, with a ``_number`` for each id and text, in the order of the ids."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """(row, id, text, print): every row whole, with its id, its text and a digest of that."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_print": F.md5(text.cast("binary"))})
-    if rows.groupBy("_id").agg(F.min("_print").alias("a"), F.max("_print").alias("b")).where("a <> b").isEmpty():
-        return rows.withColumn("_number", F.col("_id"))
-    pairs = rows.select("_id", "_print").distinct().orderBy("_id", "_print")
+    row = F.struct(*_columns(docs)).alias("row")
+    return docs.select(row, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.md5(text.cast("binary")).alias("print"))
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows that have an id, packed, with a ``number`` for each id and text, in the order of the ids."""
+    rows = _packed(docs.where("doc_id is not null"))
+    if rows.groupBy("id").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").isEmpty():
+        return rows.withColumn("number", F.col("id"))
+    pairs = rows.select("id", "print").distinct().orderBy("id", "print")
     # Written, so that the numbers are the same whenever they are read.
-    numbers = Scratch(spark, "numbers").keep(pairs.withColumn("_number", F.monotonically_increasing_id()))
-    return rows.join(numbers, ["_id", "_print"])
+    numbers = Scratch(spark, "numbers").keep(pairs.withColumn("number", F.monotonically_increasing_id()))
+    return rows.join(numbers, ["id", "print"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of long passages that occur elsewhere too."""
-    cut = suffix.without_repeats(docs)
+    """All documents, without the bytes of passages of ``PASSAGE_BYTES`` that occur elsewhere too."""
+    cut = suffix.without_repeats(docs, PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
@@ -63,13 +77,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mixture takes it."""
     _, mixture = mixing.mix(docs, block_words=None)
     times = mixture.groupBy("doc_id", "print", "copy").count().select("doc_id", "print", F.struct("copy", "count").alias("t"))
-    times = times.groupBy("doc_id", "print").agg(F.map_from_entries(F.collect_list("t")).alias("_times"))
-    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("_print", key).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(suffix.SENTINEL)))
-    times = times.select(F.coalesce("doc_id", F.lit(suffix.SENTINEL)).alias("_id"), F.col("print").alias("_print"), "_times")
-    copy = F.row_number().over(Window.partitionBy("_id", "_print").orderBy(F.col("source").asc_nulls_last()))
-    drawn = rows.join(times, ["_id", "_print"]).withColumn("_n", F.element_at("_times", copy))
-    return drawn.where("_n > 0").withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*_columns(docs))
+    times = times.groupBy("doc_id", "print").agg(F.map_from_entries(F.collect_list("t")).alias("times"))
+    times = times.select(F.coalesce("doc_id", F.lit(suffix.SENTINEL)).alias("id"), "print", "times")
+    rows = _packed(docs).withColumn("id", F.coalesce("id", F.lit(suffix.SENTINEL)))
+    copy = F.row_number().over(Window.partitionBy("id", "print").orderBy(F.col("row.source").asc_nulls_last()))
+    drawn = rows.join(times, ["id", "print"]).withColumn("n", F.element_at("times", copy))
+    return drawn.where("n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
