@@ -20,11 +20,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epifold.llm import words
 from epifold.llm.graph import components
+from epifold.operators.joins import join_per_key
 from epifold.sources.storage import Scratch
 
 POSITIONS = 96
@@ -231,15 +232,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             ),
             "classes",
         )
-        in_key = Window.partitionBy("key")
-        shared = scratch.store(
-            _keys(classes)
-            .withColumn("low", F.min("rep").over(in_key))
-            .withColumn("high", F.max("rep").over(in_key))
-            .where("low < high")
-            .select("key", "rep", "low"),
-            "keys",
-        )
+        # Aggregates joined back, not windows: a key of very many classes can be split.
+        keys = _keys(classes)
+        bounds = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+        bounds = scratch.store(bounds.select("key", "low"), "bounds")
+        shared = scratch.store(join_per_key(keys, bounds, ["key"]), "keys")
         full = scratch.store(_full_sets(docs, shared.select("rep").distinct(), size), "full")
         # Rows that share a doc_id are one document, whatever their texts.
         linked = [usable.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
@@ -257,22 +254,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             placed = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
                 "key", "rep", F.coalesce("component", "rep").alias("component")
             )
-            apart = (
-                placed.withColumn("low", F.min("component").over(in_key))
-                .withColumn("high", F.max("component").over(in_key))
-                .where("low < high")
-                .select("key", "rep", "component")
-            )
+            placed = scratch.store(placed, f"placed{turn}")
+            draw = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("draw"), "rep", "component")
+            of_key = placed.groupBy("key").agg(F.min(draw).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
+            of_key = scratch.store(of_key.where("low < high").select("key", "pivot"), f"pivots{turn}")
+            apart = join_per_key(placed, of_key, ["key"])
             if turn < PIVOT_ROUNDS - 1:
-                drawn = F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("draw"), "rep", "component")).over(in_key)
                 pairs = (
-                    apart.withColumn("pivot", drawn)
-                    .where("component <> pivot.component")
+                    apart.where("component <> pivot.component")
                     .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
                     .distinct()
                 )
             else:
-                sketched = apart.join(classes.select("rep", F.struct("n", "sketch").alias("x")), "rep")
+                sketched = apart.drop("pivot").join(classes.select("rep", F.struct("n", "sketch").alias("x")), "rep")
                 other = sketched.select("key", F.col("rep").alias("other"), F.col("component").alias("beside"), F.col("x").alias("y"))
                 pairs = (
                     sketched.join(other, "key")
