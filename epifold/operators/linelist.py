@@ -59,7 +59,7 @@ def ingest_linelist(
     ``files.read_csv(position=True)`` gives: first source first, then by file
     name and place in the file. Frames with neither are refused. It is fixed by
     the write, and later reads of the table see the same values. With
-    ``current`` a table written from other files, or under other names, is not
+    ``current`` a table written from other rows, or under other names, is not
     taken for this one: it is written anew.
     """
     names_b = names_b or names_a
@@ -68,7 +68,7 @@ def ingest_linelist(
         if not current:
             return materialise_once(build(), path)
         chosen = {"a": dict(names_a), "b": dict(names_b), "order": order}
-        return materialise_current(build, path, [a, b], chosen)
+        return materialise_current(build, path, [a, b], chosen, by="auto")
 
     if order is not None:
         return stored(lambda: _union(a, b, names_a, names_b, ()).drop("_source").withColumnRenamed(order, "seq"))

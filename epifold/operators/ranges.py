@@ -9,7 +9,7 @@ rows as one row more. Every window then covers one range or one row per range.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,18 +26,20 @@ def prefix_sums(
     sums: Mapping[str, str],
     descending: bool = False,
     ranges: int | None = None,
+    fix: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add running sums, ``{new column: measure}``, per key in order of ``at``.
 
     ``cells`` has one row per key and ``at``. NULL is a key and the last point. A
-    running sum is NULL until the first known value.
+    running sum is NULL until the first known value. ``fix`` stores the rows with
+    their ranges, by default as a checkpoint.
     """
     keys = list(keys)
     ranges = ranges or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     point = F.col(at).desc_nulls_last() if descending else F.col(at).asc_nulls_last()
     dealt = cells.repartitionByRange(ranges, *keys, point).withColumn("_range", F.spark_partition_id())
-    # Fixed by a checkpoint, as the bounds of ranges are drawn anew with every run.
-    dealt = cut(dealt.withColumn("_carry", F.lit(False)))
+    # Stored, as the bounds of ranges are drawn anew with every run.
+    dealt = (fix or cut)(dealt.withColumn("_carry", F.lit(False)))
     of_range = dealt.groupBy(*keys, "_range").agg(*[F.sum(m).alias(m) for m in sums.values()])
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = of_range.select(*keys, "_range", *[F.sum(m).over(before).alias(m) for m in sums.values()])

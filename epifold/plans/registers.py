@@ -339,12 +339,14 @@ SELECT case_id, age, open_date FROM (
 ) WHERE k = 1""",
 )
 def _(spark, sf_dir):
-    # Files of unequal size as they arrive, the later ones packed; no order is given.
+    # Files of unequal size as they arrive, none with more than a thirtieth of all rows;
+    # the later ones are packed; no order is given.
     rows = X.view(spark, sf_dir, "r_linelist").select("seq", "case_id", "age", "open_date")
-    size = F.floor(F.log2(F.col("seq") + 2)).cast("int")
+    until = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    size = F.least(F.lit(63), F.floor(F.sqrt(F.col("seq") / until) * 64)).cast("int")
     dealt = rows.withColumn("_size", size).repartitionById(64, "_size").sortWithinPartitions("seq")
     plain, packed = scratch_path(spark, "arrival-plain"), scratch_path(spark, "arrival-packed")
-    early = F.col("_size") < 9
+    early = F.col("_size") < 20
     dealt.where(early).drop("_size").write.option("header", True).csv(plain)
     files.write_csv_gzip(dealt.where(~early).drop("_size"), packed)
     first = files.read_csv(spark, plain, rows.schema, position=True)

@@ -7,9 +7,11 @@ read, and of two jobs that write the same table one publishes and the other
 takes what is there.
 
 The fingerprint of a table does not depend on the order of its rows or files and
-is a sum, so tasks add up their own part. By default it covers the files of the
-input (path, size, time of change), which needs no job. ``by="content"`` covers
-the rows instead, in one pass, for inputs whose files are rewritten unchanged.
+is a sum, so tasks add up their own part. By default it covers the files that a
+frame reads (path, size, time of change) and what the frame makes of them, its
+plan, which needs no job. ``by="content"`` covers the rows instead, in one pass:
+for frames that hold rows of their own, or whose files are rewritten unchanged.
+``by="auto"`` takes the files where a frame reads nothing else.
 """
 
 from __future__ import annotations
@@ -49,14 +51,31 @@ def merge_fingerprints(*parts: str) -> str:
     return f"{sum(int(p, 16) for p in parts) % MODULUS:032x}"
 
 
+def reads_only_files(df: DataFrame) -> bool:
+    """Whether all rows of a frame come from files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    kinds = [leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())]
+    return bool(kinds) and set(kinds) == {"LogicalRelation"} and len(df.inputFiles()) > 0
+
+
+def plan_of(df: DataFrame) -> str:
+    """What a frame does with its sources, as text that does not depend on the session."""
+    conf, name = df.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(name)
+    conf.set(name, str(10**6))
+    try:
+        return df._jdf.queryExecution().analyzed().canonicalized().toString()
+    finally:
+        conf.set(name, before)
+
+
 def fingerprint_files(df: DataFrame) -> str:
     """Fingerprint of the files a frame reads, from their listing; no job runs."""
     spark = df.sparkSession
-    names = df.inputFiles()
-    if not names:
-        raise ValueError("the frame reads no files; use the fingerprint of its content")
+    if not reads_only_files(df):
+        raise ValueError("the frame has rows that are in no file; use the fingerprint of its content")
     parts = []
-    for name in names:
+    for name in df.inputFiles():
         target, fs = hadoop(spark, name)
         status = fs.getFileStatus(target)
         parts.append(f"{name}\n{status.getLen()}\n{status.getModificationTime()}")
@@ -83,13 +102,16 @@ def fingerprint_rows(df: DataFrame) -> str:
     return _sum([json.dumps([kinds, *(str(v or 0) for v in row)])])
 
 
-FINGERPRINTS = {"files": fingerprint_files, "content": fingerprint_rows}
-
-
 def fingerprint(inputs: Sequence[DataFrame], parameters: Mapping[str, Any] | None = None, by: str = "files") -> str:
     """Fingerprint of several inputs, by their place, and of the parameters."""
-    of = FINGERPRINTS[by]
-    parts = [f"input {i}\n{of(df)}" for i, df in enumerate(inputs)]
+    if by not in ("files", "content", "auto"):
+        raise ValueError(f"no fingerprint by {by}")
+    parts = []
+    for i, df in enumerate(inputs):
+        if by == "content" or (by == "auto" and not reads_only_files(df)):
+            parts.append(f"rows {i}\n{fingerprint_rows(df)}")
+        else:
+            parts.append(f"files {i}\n{fingerprint_files(df)}\n{plan_of(df)}")
     return _sum([*parts, "parameters\n" + json.dumps(dict(parameters or {}), sort_keys=True, default=str)])
 
 

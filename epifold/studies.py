@@ -3,7 +3,7 @@
 Inputs are DataFrames with the columns of ``epifold.sources.schemas``. Each
 function returns its tables by name; :func:`write_tables` stores them. ``folder``
 is a path all executors can reach. Large tables are read once: case tables are
-written to the folder, report-sized frames that several tables need are
+written to the folder, anew whenever their source tables change, report-sized frames that several tables need are
 checkpointed.
 """
 
@@ -29,7 +29,8 @@ from epifold.operators import (
 )
 from epifold.sources import files, schemas
 from epifold.sources.literals import timeline
-from epifold.sources.storage import cut, materialise_once
+from epifold.sources.manifest import materialise_current
+from epifold.sources.storage import cut
 
 CASE_COLUMNS = {c: schemas.CASE_NAMES[c] for c in schemas.CASES.names}
 DEATH_COLUMNS = {
@@ -102,11 +103,15 @@ def case_curves(
         f"{folder}/case-lines",
         {**CASE_COLUMNS, **({order: order} if order else {})},
         order=order,
+        current=True,
     )
     fixed = linelist.apply_overrides(lines, dims.DEATH_DATE_FIXES, "case_id", "death_date")
     single = linelist.dedup_linelist(fixed, "case_id", "seq", best_of=["death_date"])
-    cases = materialise_once(
-        single.withColumn("age_group", age_band("age")).drop("seq"), f"{folder}/cases"
+    cases = materialise_current(
+        lambda: single.withColumn("age_group", age_band("age")).drop("seq"),
+        f"{folder}/cases",
+        [lines],
+        {"fixes": [list(map(str, f)) for f in dims.DEATH_DATE_FIXES]},
     )
     monthly_cases = linelist.monthly_counts(cases, "open_date", until=dims.DATE_CAP)
     monthly_deaths = linelist.monthly_counts(
@@ -229,10 +234,12 @@ def provincial_coverage(
 
 
 def person_doses(ledger: DataFrame, path: str) -> DataFrame:
-    """Counts of each person's earliest doses, computed once and stored."""
-    return materialise_once(
-        coverage.earliest_doses(ledger.withColumnsRenamed(schemas.PERSON_DOSE_NAMES)), path
-    )
+    """Counts of each person's earliest doses, stored until the ledger changes."""
+
+    def counted() -> DataFrame:
+        return coverage.earliest_doses(ledger.withColumnsRenamed(schemas.PERSON_DOSE_NAMES))
+
+    return materialise_current(counted, path, [ledger], by="auto")
 
 
 def label_points(vertices: DataFrame) -> DataFrame:

@@ -114,6 +114,23 @@ def test_changed_input_gives_a_new_table_and_equal_input_no_job(spark, tmp_path)
     assert len(manifest.versions(spark, s.root)) == 1
 
 
+def test_what_a_frame_does_with_its_files_counts(spark, tmp_path):
+    s = Source(spark, tmp_path)
+    s.add(1, 2, 3)
+
+    def stored(least):
+        read = s.read().where(F.col("v") >= least)
+        return sorted(r.v for r in manifest.materialise_current(lambda: read, s.root, [read]).collect())
+
+    assert (stored(2), stored(3), stored(2)) == ([2, 3], [3], [2, 3])
+    assert len(manifest.versions(spark, s.root)) == 2
+    mixed = s.read().unionByName(spark.createDataFrame([(9,)], "v int"))
+    with pytest.raises(ValueError):
+        manifest.fingerprint([mixed])
+    assert manifest.fingerprint([mixed], by="auto") == manifest.fingerprint([mixed], by="content")
+    assert manifest.fingerprint([s.read()], by="auto") == manifest.fingerprint([s.read()])
+
+
 def test_content_decides_where_files_are_rewritten(spark, tmp_path):
     s = Source(spark, tmp_path)
     s.add(1, 2)
