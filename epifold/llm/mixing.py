@@ -10,7 +10,7 @@
 4. A binary tree splits the quotas among the output shards: at every node the
    left half draws its blocks from the sources' quotas without replacement
    (multivariate hypergeometric, one source after the other). No node moves a
-   block, only counts.
+   block, only counts. Groups of sources are dealt first, then each group's own.
 5. A shard takes, of each source, the next blocks of the permuted order, so
    shards are disjoint, and orders what it has by another digest.
 
@@ -24,11 +24,17 @@ Without any word all targets are 0. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epifold.operators.ranges import prefix_sums
 from epifold.sources.storage import Scratch
 
+Store = Callable[[DataFrame, str], DataFrame]
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -61,29 +67,33 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return narrow.withColumn("copy", F.row_number().over(alike))
 
 
-def targets(rows: DataFrame, block_words: int | None) -> DataFrame:
-    """(source, source_size, blocks, target): one row per source."""
+def targets(rows: DataFrame, block_words: int | None, store: Store) -> DataFrame:
+    """(source, source_size, blocks, target): one row per source.
+
+    Ranks and running sums over the sources go through ranges of them, so that
+    there may be one source per host.
+    """
     blocks = F.lit(1) if block_words is None else F.ceil(F.col("size") / block_words)
     per = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(blocks).cast("long").alias("blocks")
     )
     # From here on there is one row per source.
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    per = per.withColumns({"one": F.lit(1).cast("long"), "at": F.struct(F.col("source").isNull(), "source")})
+    per = prefix_sums(per, [], "at", {"rank": "one"}, fix=lambda df: store(df, "ranks"))
     weights = F.array(*map(F.lit, WEIGHTS))
-    per = per.withColumn("weight", F.element_at(weights, (F.pmod(rank - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
-    cap = CAP * F.col("source_size")
-    ratio = cap.cast("double") / F.col("weight")
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    per = (
-        per.withColumn("ratio", ratio)
-        .withColumn("capped", F.sum(cap).over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("total") - F.coalesce("capped", F.lit(0))).cast("double") / F.col("open"))
-        .withColumn("rise", F.min_by(F.when(F.col("ratio") > F.col("level"), F.col("level")), F.when(F.col("ratio") > F.col("level"), F.col("ratio"))).over(everything))
-    )
-    target = F.when(F.col("ratio") > F.col("rise"), F.col("rise") * F.col("weight")).otherwise(cap.cast("double"))
+    weight = F.element_at(weights, (F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    per = per.withColumns({"weight": weight, "cap": CAP * F.col("source_size")})
+    per = per.withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
+    per = per.withColumn("by_ratio", F.struct("ratio", "at"))
+    per = prefix_sums(per, [], "by_ratio", {"caps": "cap", "weights": "weight"}, fix=lambda df: store(df, "ratios"))
+    total, weight_of_all = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    left = F.lit(total).cast("long") - (F.col("caps") - F.col("cap"))
+    level = left.cast("double") / (F.lit(weight_of_all).cast("long") - (F.col("weights") - F.col("weight")))
+    per = store(per.withColumn("level", level), "levels")
+    # Sources up to this level are full; the others share what is left by weight.
+    rise = per.where("ratio > level").agg(F.min_by("level", "ratio")).first()[0]
+    rise = F.lit(rise).cast("double")
+    target = F.when(F.col("ratio") > rise, rise * F.col("weight")).otherwise(F.col("cap").cast("double"))
     return per.select("source", "source_size", "blocks", target.alias("target"))
 
 
@@ -113,46 +123,71 @@ def _drawn(total: Column, kind: Column, draws: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(low, F.greatest(low, high)), start, step, lambda s: s["pick"])
 
 
-def split(quotas: DataFrame, depth: int) -> DataFrame:
+def _halved(nodes: DataFrame, level: int, draws: Column) -> DataFrame:
+    """Both children of every node (tree, node, quota): the left one takes ``draws`` blocks."""
+    total = F.aggregate("quota", F.lit(0).cast("long"), lambda s, q: s + q["n"])
+    start = F.struct(total.alias("total"), draws.alias("draws"), F.array().cast("array<struct<source:string,n:bigint>>").alias("out"))
+
+    def take(state, q):
+        drawn = F.transform(
+            F.array(_drawn(state["total"], q["n"], state["draws"], F.lit(SEED), F.lit(level), F.col("tree"), F.col("node"), q["source"])),
+            lambda x: F.struct(
+                (state["total"] - q["n"]).alias("total"),
+                (state["draws"] - x).alias("draws"),
+                F.array_append(state["out"], F.struct(q["source"].alias("source"), x.alias("n"))).alias("out"),
+            ),
+        )
+        return drawn[0]
+
+    nodes = nodes.withColumn("left", F.aggregate("quota", start, take, lambda s: s["out"]))
+    right = F.zip_with("quota", "left", lambda a, b: F.struct(a["source"].alias("source"), (a["n"] - b["n"]).alias("n")))
+    children = F.array(
+        F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("quota")),
+        F.struct((2 * F.col("node") + 1).alias("node"), right.alias("quota")),
+    )
+    return nodes.select("tree", "all", F.explode(children).alias("c")).select("tree", "c.node", "c.quota", "all")
+
+
+def _roots(quotas: DataFrame) -> DataFrame:
+    """The root of each ``tree``: the list of its quotas and their sum."""
+    listed = F.sort_array(F.collect_list(F.struct("source", "n"))).alias("quota")
+    return quotas.groupBy("tree").agg(listed, F.sum("n").alias("all")).withColumn("node", F.lit(0).cast("long"))
+
+
+def _leaves(nodes: DataFrame) -> DataFrame:
+    return nodes.select("tree", F.col("node").alias("shard"), F.explode("quota").alias("q")).select("tree", "q.source", "shard", "q.n")
+
+
+def split(quotas: DataFrame, depth: int, store: Store = lambda df, name: df) -> DataFrame:
     """(source, shard, n): quotas of blocks dealt to 2^depth shards of equal size.
 
-    ``quotas`` is (source, n), one row per source.
+    ``quotas`` is (source, n), one row per source. Sources are put into groups, as
+    many as a group has members. One tree deals the groups' totals; then a tree
+    per group deals its sources, each node's draws being those of the group. So
+    no row lists more than about the root of the number of sources.
     """
-    cell = F.struct("source", "n")
-    # One row for the root: its size is that of the list of sources.
-    nodes = quotas.agg(F.sort_array(F.collect_list(cell)).alias("quota"), F.sum("n").alias("all")).select(
-        F.lit(0).cast("long").alias("node"), "quota", "all"
-    )
+    groups = max(1, math.isqrt(max(0, quotas.count() - 1)) + 1)
+    grouped = quotas.withColumn("tree", F.pmod(F.xxhash64("source"), F.lit(groups)))
+    totals = grouped.groupBy("tree").agg(F.sum("n").alias("n"))
+    nodes = _roots(totals.select(F.lit(-1).cast("long").alias("tree"), F.col("tree").cast("string").alias("source"), "n"))
     for level in range(depth):
 
         def bound(k: Column, width: int) -> Column:
             return F.floor(F.col("all").cast("decimal(38,0)") * k / F.lit(width)).cast("long")
 
-        size = bound(F.col("node") + 1, 2**level) - bound(F.col("node"), 2**level)
         left = bound(2 * F.col("node") + 1, 2 ** (level + 1)) - bound(2 * F.col("node"), 2 ** (level + 1))
-        start = F.struct(size.alias("total"), left.alias("draws"), F.array().cast("array<struct<source:string,n:bigint>>").alias("out"))
-
-        def take(state, q):
-            drawn = F.transform(
-                F.array(_drawn(state["total"], q["n"], state["draws"], F.lit(SEED), F.lit(level), F.col("node"), q["source"])),
-                lambda x: F.struct(
-                    (state["total"] - q["n"]).alias("total"),
-                    (state["draws"] - x).alias("draws"),
-                    F.array_append(state["out"], F.struct(q["source"].alias("source"), x.alias("n"))).alias("out"),
-                ),
-            )
-            return drawn[0]
-
-        nodes = nodes.withColumn("left", F.aggregate("quota", start, take, lambda s: s["out"]))
-        right = F.zip_with("quota", "left", lambda a, b: F.struct(a["source"].alias("source"), (a["n"] - b["n"]).alias("n")))
-        children = F.array(
-            F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("quota")),
-            F.struct((2 * F.col("node") + 1).alias("node"), right.alias("quota")),
-        )
-        nodes = nodes.select("all", F.explode(children).alias("c")).select("c.node", "c.quota", "all")
+        nodes = _halved(nodes, level, left)
         if level % 4 == 3:
             nodes = nodes.repartition("node")
-    return nodes.select(F.col("node").alias("shard"), F.explode("quota").alias("q")).select("q.source", "shard", "q.n")
+    dealt = store(_leaves(nodes).select(F.col("source").cast("long").alias("tree"), "shard", "n"), "groups")
+    nodes = _roots(grouped)
+    for level in range(depth):
+        height = depth - level
+        half = F.shiftright("shard", height - 1)
+        # What a group has in the left half of a node is what its shards there have.
+        draws = dealt.where(half % 2 == 0).groupBy("tree", F.floor(half / 2).cast("long").alias("node")).agg(F.sum("n").alias("draws"))
+        nodes = _halved(nodes.join(draws, ["tree", "node"]), level, F.col("draws"))
+    return _leaves(nodes).select("source", "shard", "n")
 
 
 def _none(column: str) -> Column:
@@ -169,7 +204,7 @@ def mix(docs: DataFrame, block_words: int | None = BLOCK_WORDS, shard_blocks: in
     """
     with Scratch(docs.sparkSession, "mix") as scratch:
         rows = scratch.store(rows_of(docs), "rows")
-        plan = scratch.store(targets(rows, block_words).withColumn("key", _none("source")), "plan")
+        plan = scratch.store(targets(rows, block_words, scratch.store).withColumn("key", _none("source")), "plan")
         whole = rows.withColumn("key", _none("source"))
         known = whole.join(plan.drop("source"), "key").drop("key")
         per_text = F.lit(1) if block_words is None else F.ceil(F.col("size") / block_words).cast("int")
@@ -205,7 +240,7 @@ def mix(docs: DataFrame, block_words: int | None = BLOCK_WORDS, shard_blocks: in
         quotas = scratch.store(ranked.groupBy("key").agg(F.sum("times").alias("n")).where("n > 0").withColumnRenamed("key", "source"), "quotas")
         total = quotas.agg(F.sum("n")).first()[0] or 0
         depth = max(0, (-(-total // shard_blocks) - 1).bit_length())
-        shards = split(quotas, depth)
+        shards = split(quotas, depth, scratch.store)
         # A shard's range of a source, listed in every cell of equal width that it meets.
         upto = Window.partitionBy("source").orderBy("shard")
         high = F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -81,6 +81,32 @@ def test_tree_keeps_quotas_and_draws_like_urns(spark):
     assert abs(mean - 10) < 0.15 and abs(spread - 30 * (1 / 3) * (2 / 3) * (30 / 59)) < 0.4
 
 
+def test_many_sources_are_dealt_in_groups(spark):
+    quotas = {f"host{k}": 1 + k % 17 for k in range(300)} | {None: 40, "none": 0, "hot": 900}
+    rows = mixing.split(spark.createDataFrame(list(quotas.items()), "source string, n long"), 4).collect()
+    by, per, hot = {}, {}, {}
+    for r in rows:
+        assert r.n >= 0
+        by[r.source], per[r.shard] = by.get(r.source, 0) + r.n, per.get(r.shard, 0) + r.n
+        if r.source == "hot":
+            hot[r.shard] = r.n
+    assert by == quotas and max(per.values()) - min(per.values()) <= 1 and len(per) == 16
+    # A source is spread as by chance: mean 900 / 16, never far from it.
+    assert min(hot.values()) > 25 and max(hot.values()) < 90 and len(set(hot.values())) > 4
+
+
+def test_targets_of_many_sources(spark, frame):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(0, 60)), "en", f"s{rng.integers(0, 250)}", 1) for i in range(1200)]
+    known, _ = mixing.mix(frame(rows), 16, 64)
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(brute.words(r[1]))
+    want = expected_targets(sizes)
+    got = {r.source: r.target for r in known.select("source", "target").distinct().collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(t) for s, t in want.items())
+
+
 def test_empty_table_and_texts_without_words(frame):
     for rows in ([], [(1, None), (2, " ", None, "s")]):
         known, mixture = mixing.mix(frame(rows))
