@@ -39,8 +39,9 @@ RATE = 0.15
 #: Weight of the penalty on leaf values, and least curvature in a child.
 PENALTY = 1.0
 LEAST = 2.0
-#: Rows that walk down the trees together.
+#: Rows that walk down the trees together, and bytes whose kinds are counted together.
 AT_ONCE = 4096
+CHUNK = 1 << 20
 
 KINDS = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -77,9 +78,14 @@ def statistics_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The ``STATISTICS`` of each text, a row per text."""
     rows, kinds = len(offsets) - 1, len(KINDS) + 2
     size = np.diff(offsets)
-    row = np.repeat(np.arange(rows), size)
     kind = KIND[data]
-    by_kind = np.bincount(row * kinds + kind, minlength=rows * kinds).reshape(rows, kinds)
+    by_kind = np.zeros(rows * kinds, np.int64)
+    for a in range(0, len(data), CHUNK):
+        # The bytes that each row has in this chunk.
+        inside = np.diff(np.clip(offsets, a, a + CHUNK))
+        row = np.repeat(np.arange(rows) * kinds, inside)
+        by_kind += np.bincount(row + kind[a : a + CHUNK], minlength=rows * kinds)
+    by_kind = by_kind.reshape(rows, kinds)
     n_words, chars, symbols, dup_lines, repeats = quality.counts_of(data, offsets)
     starts, ends, before = words.words_of(data, offsets)
     word_row = words.owners(before)
