@@ -7,6 +7,11 @@ that is first met at level l has a common prefix of exactly l bytes. The search
 ends at the wanted length; boundaries not met by then have common prefixes at
 least that long. Each boundary is met once, so the work follows the block's
 size, not the number of repeats.
+
+The transform needs suffixes in the order of their first ``length`` bytes. Doubling
+gets there in steps that overshoot it, so its groups of equal ranks agree on more
+bytes than wanted and would miss strings that agree on just the length; the
+expansion is what tells common prefixes to the byte.
 """
 
 from __future__ import annotations
