@@ -34,30 +34,29 @@ WITH t AS (
   UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '{PROBE}' FROM range(2) AS r(k)
 ), o AS (
   SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx FROM t
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS idx FROM t
 ), p AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY idx) AS stop FROM o
-), s AS (
-  SELECT *, (stop - tokens) // {BUDGET // 2} AS stride FROM p
-), q AS (
-  SELECT *, CASE WHEN stride <> lag(stride, 1, -1) OVER (PARTITION BY conv_id ORDER BY idx) THEN 1 ELSE 0 END AS fresh FROM s
-), u AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS own FROM q
-), v AS (
-  SELECT *, max(own) OVER (PARTITION BY conv_id) AS last, max(stop) OVER (PARTITION BY conv_id, own) AS until FROM u
-), w AS (
-  SELECT *, replace(role, '\', '\\') AS r, replace(text, '\', '\\') AS b,
-         CASE WHEN idx = 1 AND role = 'system' THEN last - own + 1
-              WHEN until - stop + tokens <= {BUDGET // 8} AND own < last THEN 2 ELSE 1 END AS times FROM v
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY idx) - tokens AS start,
+         replace(role, '\', '\\') AS r, replace(text, '\', '\\') AS b FROM o
 ), z AS (
-  SELECT *, {len(OPEN + MIDDLE + CLOSE)} + length(r) + length(b) + ({CONTROLS_SQL.replace("(x", "(r")})
-         + ({CONTROLS_SQL.replace("(x", "(b")}) AS chars FROM w
+  SELECT *, CAST(start // {BUDGET // 2} AS BIGINT) AS own, idx = 1 AND role = 'system' AS leading,
+         {len(OPEN + MIDDLE + CLOSE)} + length(r) + length(b) + ({CONTROLS_SQL.replace("(x", "(r")})
+         + ({CONTROLS_SQL.replace("(x", "(b")}) AS chars FROM p
+), spans AS (
+  SELECT conv_id, own, min(start) AS start, min(idx) AS first, arg_min(role, idx) AS first_role, sum(tokens) AS tokens
+  FROM z GROUP BY conv_id, own
+), room AS (
+  SELECT s.*, {BUDGET} - s.tokens - coalesce(y.tokens, 0) AS room, first_role = 'assistant' AND first > 1 AS answers
+  FROM spans s LEFT JOIN z y ON y.leading AND y.conv_id IS NOT DISTINCT FROM s.conv_id
+), repeated AS (
+  SELECT z.conv_id, sum(z.chars) AS chars FROM z JOIN room s ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.idx < s.first
+  WHERE z.leading OR s.start - z.start <= s.room OR s.answers AND z.idx = s.first - 1 GROUP BY 1
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+SELECT z.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(times * chars) AS BIGINT) AS formatted_chars, CAST(max(last) + 1 AS BIGINT) AS n_windows
-FROM z GROUP BY conv_id
+       CAST(sum(z.chars) + coalesce(max(h.chars), 0) AS BIGINT) AS formatted_chars, count(DISTINCT own) AS n_windows
+FROM z LEFT JOIN repeated h ON h.conv_id IS NOT DISTINCT FROM z.conv_id GROUP BY z.conv_id
 """
 
 
