@@ -29,14 +29,16 @@ are ignored. An empty table has no shard.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epifold.llm import pieces, words
+from epifold.sources.manifest import hadoop
 from epifold.sources.storage import Scratch
 
 LENGTH = 512
@@ -60,7 +62,7 @@ def permute(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     while len(todo):
         left, right = out[todo] // np.uint64(b), out[todo] % np.uint64(b)
         for k in range(ROUNDS):
-            salt = np.uint64(key * 2654435761 + 2 * k + 1)
+            salt = np.uint64((key * 2654435761 + 2 * k + 1) % 2**64)
             left = (left + words.mix(right + salt) % np.uint64(a)) % np.uint64(a)
             right = (right + words.mix(left + salt + np.uint64(1)) % np.uint64(b)) % np.uint64(b)
         out[todo] = left * np.uint64(b) + right
@@ -73,8 +75,11 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
 
 
-def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, length: int, rows: int, width: int) -> DataFrame:
-    """(shard, n, load): slots and records of a block that go to one shard."""
+def _records(source: DataFrame, bases: DataFrame, total: int, length: int, rows: int, width: int) -> DataFrame:
+    """(shard, n, load): slots and records of a block that go to one shard.
+
+    ``bases`` is (part, n, first): the sequences of each partition and those before them.
+    """
     span = length * width
 
     def run(batches):
@@ -82,10 +87,9 @@ def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, l
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column("part")[0].as_py()
             if number is None:
-                number, count = bases.get(part, (0, 0))
-                stop = number + count
+                number = batch.column("first")[0].as_py()
+                stop = number + batch.column("n")[0].as_py()
             ids = batch.column("doc_id").to_numpy().astype(np.int64)
             for i, j, data, offsets in words.text_blocks(batch, "tokens", BLOCK):
                 counts = -(-np.diff(offsets) // span)
@@ -120,7 +124,11 @@ def _records(source: DataFrame, bases: dict[int, tuple[int, int]], total: int, l
         if number != stop:
             raise RuntimeError("the input's partitions changed between its two reads")
 
-    return source.withColumn("part", F.spark_partition_id()).mapInArrow(run, "shard int, n long, load binary")
+    # One row per partition of the input; rows stay in their partitions.
+    numbered = source.withColumn("part", F.spark_partition_id()).join(F.broadcast(bases), "part", "left")
+    zero = F.lit(0).cast("long")
+    known = numbered.select("doc_id", "tokens", F.coalesce("first", zero).alias("first"), F.coalesce("n", zero).alias("n"))
+    return known.mapInArrow(run, "shard int, n long, load binary")
 
 
 def _in_order(loads: DataFrame, size: int) -> DataFrame:
@@ -161,27 +169,39 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = R
 
 def _write(source: DataFrame, path: str, length: int, rows: int, width: int) -> int:
     """Write the sequences of (doc_id, tokens); a token has ``width`` bytes."""
-    per = (
-        source.groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.sum(F.ceil(F.octet_length("tokens") / (length * width)).cast("long")).alias("n"))
-        .orderBy("part")
-    )
-    # One row per partition of the input.
-    bases, total = {}, 0
-    for r in per.toLocalIterator():
-        bases[r.part], total = (total, r.n), total + r.n
-    shards = -(-total // rows)
-    loads = _records(source, bases, total, length, rows, width)
-    if shards:
-        loads = loads.repartitionById(shards, "shard")
-    _in_order(loads, HEADER + length * width).select(F.col("record").cast("string").alias("value")).write.text(path)
+    n = F.sum(F.ceil(F.octet_length("tokens") / (length * width)).cast("long"))
+    per = source.groupBy(F.spark_partition_id().alias("part")).agg(n.alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    with Scratch(source.sparkSession, "sequences") as scratch:
+        # One row per partition of the input.
+        bases = scratch.store(per.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
+        total = bases.agg(F.sum("n")).first()[0] or 0
+        shards = -(-total // rows)
+        loads = _records(source, bases, total, length, rows, width)
+        if shards:
+            loads = loads.repartitionById(shards, "shard")
+        _in_order(loads, HEADER + length * width).select(F.col("record").cast("string").alias("value")).write.text(path)
     return total
 
 
+def _files_from(spark: SparkSession, path: str, shard: int) -> list[str]:
+    """The files of the shards from this one on, by their part numbers."""
+    target, fs = hadoop(spark, path)
+    named = [(re.search(r"part-(\d+)-", f.getPath().getName()), f.getPath().toString()) for f in fs.listStatus(target)]
+    return [file for part, file in named if part and int(part[1]) >= shard]
+
+
 def read_shards(spark: SparkSession, path: str, start: int = 0, length: int = LENGTH, rows: int = ROWS, width: int = 1) -> DataFrame:
-    """(slot, doc_id, part, n_tokens, tokens) of all slots from ``start`` on, a token in ``width`` bytes."""
+    """(slot, doc_id, part, n_tokens, tokens) of all slots from ``start`` on, a token in ``width`` bytes.
+
+    Files of shards before the first wanted one are not opened.
+    """
     stride = HEADER + length * width + 1
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    wanted = [path] if start < rows else _files_from(spark, path, start // rows)
+    if not wanted:
+        schema = "slot long, doc_id long, part long, n_tokens long, tokens binary"
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(wanted).select("path", "content")
     shard = F.regexp_extract("path", r"part-(\d+)-", 1).cast("long")
     first = F.greatest(F.lit(0), F.lit(start) - F.col("shard") * rows)
     count = F.floor(F.octet_length("content") / stride)

@@ -19,6 +19,7 @@ def test_slots_are_a_permutation(total):
     if total > 50:
         assert abs(np.corrcoef(slots, np.arange(total))[0, 1]) < 0.4
         assert (permute(np.arange(total), total, key=1) != slots).mean() > 0.9
+    assert sorted(permute(np.arange(total), total, key=2**63 + 5).tolist()) == list(range(total))
 
 
 def test_shards_hold_every_sequence_and_resume(spark, frame, tmp_path):
@@ -36,6 +37,17 @@ def test_shards_hold_every_sequence_and_resume(spark, frame, tmp_path):
     assert sorted(((r.doc_id, r.part, bytes(r.tokens)) for r in got), key=key) == sorted(want, key=key)
     late = read_shards(spark, path, start=total - 130, length=64, rows=100).collect()
     assert sorted(map(tuple, late)) == sorted(tuple(r) for r in got if r.slot >= total - 130)
+    # The files before are not opened: a resumed read works without the first one.
+    resumed = read_shards(spark, path, start=total - 130, length=64, rows=100)
+    first = next(p for p in (tmp_path / "shards").iterdir() if p.name.startswith("part-00000-"))
+    held = first.read_bytes()
+    first.write_bytes(b"")
+    first.chmod(0)
+    assert sorted(map(tuple, resumed.collect())) == sorted(tuple(r) for r in got if r.slot >= total - 130)
+    assert len(resumed.inputFiles()) == -(-total // 100) - (total - 130) // 100
+    first.chmod(0o644)
+    first.write_bytes(held)
+    assert read_shards(spark, path, start=10 * total, length=64, rows=100).collect() == []
     # A record lies where its slot says.
     files = sorted(p for p in (tmp_path / "shards").iterdir() if p.name.startswith("part-"))
     assert all(f.stat().st_size == 81 * min(100, total - 100 * k) for k, f in enumerate(files))
