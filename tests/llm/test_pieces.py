@@ -64,3 +64,51 @@ def test_longest_prefix_of_a_compiled_map():
         assert starts == sorted(starts) and stops == sorted(stops)
         covered = {k for a, b in zip(starts, stops) for k in range(a, b)}
         assert covered == set(range(len(raw)))
+
+
+def mapped(path, rule, squeeze):
+    """The model file with the compiled character map of a rule in place of its empty one."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto, rules = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        proto.ParseFromString(file.read())
+    rules.ParseFromString(spm.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    return proto.SerializeToString()
+
+
+MAPPED = [*BITS, "ﬁ", "①", "Ａｂｃ", "ㅎㅏㄴ", "½", "㎏", "가", "é", "é", "ñ̃", "　", " ", "ﷺ", "™", "Ⅷ", "​", "﻿", "ｶﾞ", "ẛ̣"]
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc", "nfkc_cf"])
+def test_a_model_with_a_character_map_matches_the_library(rule, squeeze):
+    content = mapped(model_path(), rule, squeeze)
+    own, library = Model(content), spm.SentencePieceProcessor(model_proto=content)
+    assert len(own.map.units) and not own.plain
+    random.seed(rule)
+    for _ in range(600):
+        text = "".join(random.choice(MAPPED) for _ in range(random.randint(0, 25)))
+        ids, starts, stops = own.encode(text)
+        assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True), repr(text)
+        assert own.decode(ids.tolist()) == library.decode(ids.tolist())
+        raw = text.encode()
+        assert all(0 <= a <= b <= len(raw) for a, b in zip(starts, stops))
+        assert list(starts) == sorted(starts)
+        # No byte is lost but blanks and signs that the map leaves out.
+        covered = {k for a, b in zip(starts, stops) for k in range(a, b)}
+        lost = bytes(raw[k] for k in range(len(raw)) if k not in covered).decode()
+        assert not library.normalize(lost).replace("▁", "").strip() or squeeze and not lost.strip()
+
+
+def test_whole_texts_with_a_character_map(frame, tmp_path):
+    path = tmp_path / "mapped.model"
+    path.write_bytes(mapped(model_path(), "nmt_nfkc", True))
+    library = spm.SentencePieceProcessor(model_file=str(path))
+    rows = [(1, None), (2, ""), (3, "ﬁne  ①"), (4, "Ａ½ ㎏ " * 5000), (None, " é ")]
+    encoded = encode(frame(rows), str(path))
+    for r in decode(encoded.select("doc_id", "text", "ids"), str(path)).collect():
+        assert r.ids == library.encode(r.text or "", add_bos=True, add_eos=True)
+        assert r.decoded == library.decode(r.ids)

@@ -8,7 +8,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, n string, component st
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, v, 1, "x", "x", "x", "x") for i, v in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, v, 1, "x", "x", "x", "x") for i, v in rows], SCHEMA).repartition(2)
 
 
 def floats(v):
@@ -70,12 +70,54 @@ def test_few_directions_no_variance_and_empty(spark):
     assert whitening.whitened(table(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("spectrum", [np.ones(60), np.r_[np.full(30, 5.0), np.ones(30)], np.geomspace(1e4, 1e-2, 60)])
-def test_flat_and_steep_spectra(spark, spectrum):
-    turn = np.linalg.qr(RNG.normal(size=(60, 60)))[0]
-    x = (RNG.normal(size=(900, 60)) * np.sqrt(spectrum)) @ turn
-    got = whitening.whitened(table(spark, [(i, floats(v)) for i, v in enumerate(x)]))
-    compare(got.collect(), list(range(900)), np.float32(x), close=1e-5)
+class Dense:
+    """Passes over rows that lie in memory."""
+
+    def __init__(self, x):
+        self.whole, self.x, self.passes = np.zeros(x.shape[1]), x - x.mean(axis=0), 0
+
+    def times(self, block):
+        self.passes += 1
+        return self.x.T @ (self.x @ block) / len(self.x), float((self.x**2).sum() / len(self.x))
+
+
+SPECTRA = {
+    "sampled": np.ones(90),
+    "two levels": np.r_[np.full(40, 5.0), np.ones(50)],
+    "steep": np.geomspace(1e4, 1e-2, 90),
+    "one close pair": np.r_[9.0, 9.0 - 1e-6, np.linspace(3, 1, 88)],
+    "few": np.r_[np.full(5, 2.0), np.zeros(85)],
+}
+
+
+@pytest.mark.parametrize("name", SPECTRA)
+def test_flat_and_steep_spectra(name):
+    turn = np.linalg.qr(RNG.normal(size=(90, 90)))[0]
+    x = (RNG.normal(size=(900, 90)) * np.sqrt(SPECTRA[name])) @ turn
+    rows = Dense(x)
+    values, vectors, trace = whitening.leading(rows, 8)
+    cov = rows.x.T @ rows.x / len(x)
+    true = np.linalg.eigvalsh(cov)[::-1]
+    real = min(8, int((true > 1e-9 * true[0]).sum()))
+    assert len(values) == real and np.abs(values - true[:real]).max() < 1e-9 * true[0]
+    assert np.abs(cov @ vectors - vectors * values).max() < 1e-9 * true[0]
+    assert np.abs(vectors.T @ vectors - np.eye(real)).max() < 1e-9 and abs(trace / true.sum() - 1) < 1e-9
+
+
+def test_equal_eigenvalues_in_all_directions():
+    rows = Dense(np.concatenate([np.eye(70), -np.eye(70)]))
+    values, vectors, _ = whitening.leading(rows, 8)
+    assert np.abs(values - 1 / 70).max() < 1e-12 and np.abs(vectors.T @ vectors - np.eye(8)).max() < 1e-9
+
+
+def test_more_equal_leading_values_than_the_block():
+    # No gap inside the block: it is widened until the step is exact.
+    scale = np.sqrt(np.r_[np.full(50, 4.0), np.linspace(1, 0.5, 40)])
+    rows = Dense(np.concatenate([np.diag(scale), -np.diag(scale)]))
+    values, vectors, _ = whitening.leading(rows, 8)
+    assert np.abs(values - 4 / 90).max() < 1e-12
+    cov = np.diag(scale**2) / 90
+    assert np.abs(cov @ vectors - vectors * values).max() < 1e-10
 
 
 def test_deviations_beyond_a_long():
