@@ -141,6 +141,8 @@ class Model:
         """Characters, and the source bytes [start, stop) of each."""
         source = text.encode("utf-8", "surrogatepass")
         chars, starts, stops, at = [], [], [], 0
+        # Blanks at the head of a form go if the form before ended with one; a written "▁" is no blank here.
+        blank = self.squeeze
         while at < len(source):
             hit = self.map.longest(source, at)
             if hit is None:
@@ -149,9 +151,12 @@ class Model:
                 form = source[at : at + length]
             else:
                 length, form = hit
-            for c in form.decode("utf-8", "replace"):
-                if self.squeeze and c == " " and (not chars or chars[-1] == BLANK):
-                    continue
+            kept = form.decode("utf-8", "replace")
+            if blank:
+                kept = kept.lstrip(" ")
+            if kept:
+                blank = self.squeeze and kept.endswith(" ")
+            for c in kept:
                 chars.append(BLANK if c == " " else c)
                 starts.append(at)
                 stops.append(at + length)
