@@ -371,9 +371,12 @@ def test_running_sums_of_a_hot_key_are_spread(spark, monkeypatch):
     assert len(sizes) > 4 and max(sizes) < sum(sizes) / 3 and sum(sizes) < 10_000
 
 
-def test_ranks_of_a_hot_key(spark):
+def test_ranks_of_a_hot_key(spark, monkeypatch):
     df = hot_points(spark)
     rows = df.collect()
+    dealt = []
+    keep = ranges.cut
+    monkeypatch.setattr(ranges, "cut", lambda d: dealt.append(keep(d)) or dealt[-1])
     for keys in ([], ["k"]):
         got = {r["id"]: r["rank"] for r in ranges.average_ranks_of_rows(df, "at", keys, ranges=8).collect()}
         for k in {r["k"] if keys else None for r in rows}:
@@ -383,6 +386,11 @@ def test_ranks_of_a_hot_key(spark):
                 want[v] = above + (ties[v] + 1) / 2
                 above += ties[v]
             assert all(got[r["id"]] == want[r["at"]] for r in mine)
+        # One key or nearly so, several tasks, and no value in two of them.
+        tasks = dealt[-1].groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+        sizes = [r["n"] for r in tasks.collect()]
+        assert len(sizes) > 4 and max(sizes) < sum(sizes) / 3
+        assert dealt[-1].groupBy(*keys, "at").agg(F.count_distinct("_range").alias("n")).where("n > 1").count() == 0
 
 
 def test_prefix_sums_of_an_empty_frame(spark):
@@ -391,7 +399,10 @@ def test_prefix_sums_of_an_empty_frame(spark):
     assert ranges.average_ranks_of_rows(df, "at").collect() == []
 
 
-def test_a_ring_longer_than_a_task(spark):
+def test_a_ring_longer_than_a_task(spark, monkeypatch):
+    dealt = []
+    keep = geo.cut
+    monkeypatch.setattr(geo, "cut", lambda d: dealt.append(keep(d)) or dealt[-1])
     i = F.col("id")
     long = spark.range(5000).select(F.lit("long").alias("region"), F.lit(1).alias("ring"), (i * 3).alias("idx"), F.cos(i / 800).alias("x"), F.sin(i / 800).alias("y"))
     short = spark.range(40).select(
@@ -401,6 +412,8 @@ def test_a_ring_longer_than_a_task(spark):
     vertices = long.unionByName(short).unionByName(single)
     want = Counter(tuple(r) for r in geo.ring_edges(vertices).collect())
     assert Counter(tuple(r) for r in geo.split_ring_edges(vertices, parts=7).collect()) == want
+    sizes = [r["count"] for r in dealt[0].where("region = 'long'").groupBy("_part").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 5000 / 3
     a, b = ({r.region: r for r in geo.polygon_centroids(vertices, split=s).collect()} for s in (False, True))
     assert a.keys() == b.keys() and all(abs(a[k].area - b[k].area) < 1e-6 for k in a)
 
