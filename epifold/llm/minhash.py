@@ -238,16 +238,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         bounds = scratch.store(bounds.select("key", "low"), "bounds")
         shared = scratch.store(join_per_key(keys, bounds, ["key"]), "keys")
         full = scratch.store(_full_sets(docs, shared.select("rep").distinct(), size), "full")
+        own = scratch.store(usable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"), "own")
+        documents = scratch.store(own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")), "documents")
         # Rows that share a doc_id are one document, whatever their texts.
-        linked = [usable.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
+        several = documents.where("low < high")
+        linked = []
+        if not several.isEmpty():
+            twins = join_per_key(own, several, ["doc_id"]).where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+            linked.append(scratch.store(twins.distinct(), "twins"))
         tested = None
         pairs = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
         for turn in range(PIVOT_ROUNDS + 1):
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = scratch.store(pairs, f"pairs{turn}")
-            linked.append(scratch.store(_confirmed(_near(pairs, classes, percent), full, percent), f"links{turn}"))
-            component = components(reduce(DataFrame.union, linked[1:]))
+            links = scratch.store(_confirmed(_near(pairs, classes, percent), full, percent), f"links{turn}")
+            linked.append(links)
+            # Early turns only have to leave out most of what is linked: one round of labels will do. The labels
+            # before the list of pairs are final, and those after it the same if it brought no new link.
+            if turn < PIVOT_ROUNDS or not links.isEmpty():
+                rounds = 1 if turn < PIVOT_ROUNDS - 1 else None
+                component = components(reduce(DataFrame.union, linked), scratch, f"components{turn}", rounds=rounds)
             if turn == PIVOT_ROUNDS:
                 break
             tested = pairs if tested is None else tested.union(pairs)
@@ -275,9 +286,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                     .distinct()
                 )
             shared = apart.select("key", "rep")
-        component = components(reduce(DataFrame.union, linked))
+        # A class is named by its smallest document, so that a component of classes is named by its smallest document too.
+        found = documents.join(component.withColumnRenamed("node", "low"), "low", "left").select("doc_id", F.coalesce("component", "low").alias("component"))
         return scratch.keep(
-            known.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            known.join(found, "doc_id", "left")
             .withColumn("component_id", F.coalesce("component", "doc_id"))
             .select("doc_id", "n_shingles", "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("kept"))
         )

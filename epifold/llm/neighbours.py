@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epifold.llm import words
-from epifold.llm.graph import components
+from epifold.llm.graph import components, forest
 from epifold.llm.hnsw import Graph
 from epifold.sources.storage import Scratch
 
@@ -69,22 +69,6 @@ def _indexed(classes: DataFrame, least: float) -> DataFrame:
     return classes.select("part", "rep", "n", "v").groupBy("part").applyInArrow(build, schema)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and the smallest node that the links reach from each."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            return nodes, nodes[label]
-        label = new
-
-
 def _asked(queries: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """(node, other, n): counts of linked vectors (other NULL) and links of a spanning forest (n NULL)."""
 
@@ -112,9 +96,9 @@ def _asked(queries: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
                 froms.append(reps[a[hit]])
                 tos.append(members[b[hit]])
                 if sum(map(len, froms)) > (1 << 18):
-                    x, y = _forest(np.concatenate(froms), np.concatenate(tos))
+                    x, y = forest(np.concatenate(froms), np.concatenate(tos))
                     froms, tos = [x], [y]
-        node, root = _forest(np.concatenate(froms), np.concatenate(tos)) if froms else (reps[:0], reps[:0])
+        node, root = forest(np.concatenate(froms), np.concatenate(tos)) if froms else (reps[:0], reps[:0])
         real = node != root
         some = total > 0
         return pa.table(
@@ -153,7 +137,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int = SHAR
         copies = index.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
         answers = scratch.store(_asked(queries, copies, threshold), "answers")
         linked = answers.where("n is not null").groupBy(F.col("node").alias("rep")).agg(F.sum("n").alias("beyond"))
-        component = components(answers.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        component = components(answers.where("other is not null"), scratch, "components", "node", "other")
         of_class = (
             classes.join(linked, "rep", "left")
             .join(component.withColumnRenamed("node", "rep"), "rep", "left")
