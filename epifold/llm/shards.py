@@ -30,7 +30,6 @@ are ignored. An empty table has no shard.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +50,8 @@ PAD = 0xFF
 HEADER = 16
 #: Bytes of tokens whose records are dealt together.
 BLOCK = 1 << 22
+#: Codec and level of what lies on disk between the input and the shards.
+CODEC, LEVEL = "zstd", 3
 
 
 def permute(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
@@ -83,6 +84,7 @@ def _records(source: DataFrame, bases: DataFrame, total: int, length: int, rows:
     span = length * width
 
     def run(batches):
+        codec = pa.Codec(CODEC, compression_level=LEVEL)
         number, stop = None, None
         for batch in batches:
             if not batch.num_rows:
@@ -117,7 +119,7 @@ def _records(source: DataFrame, bases: DataFrame, total: int, length: int, rows:
                     [
                         pa.array(shard[order[cuts]].astype(np.int32)),
                         pa.array([len(g) for g in groups], pa.int64()),
-                        pa.array([zlib.compress(slots[g].tobytes() + out[g].tobytes(), 1) for g in groups], pa.binary()),
+                        pa.array([codec.compress(slots[g].tobytes() + out[g].tobytes(), asbytes=True) for g in groups], pa.binary()),
                     ],
                     ["shard", "n", "load"],
                 )
@@ -135,10 +137,11 @@ def _in_order(loads: DataFrame, size: int) -> DataFrame:
     """The records of each partition, which is one shard, by slot."""
 
     def run(batches):
+        codec = pa.Codec(CODEC)
         slots, records = [], []
         for batch in batches:
             for n, load in zip(batch.column("n").to_pylist(), batch.column("load")):
-                raw = zlib.decompress(load.as_py())
+                raw = codec.decompress(load.as_py(), n * (8 + size), asbytes=True)
                 slots.append(np.frombuffer(raw, np.int64, n))
                 records.append(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(n, size))
         if not slots:
@@ -163,7 +166,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = R
         return _write(source.withColumnRenamed("text", "tokens"), path, length, rows, 1)
     width = pieces.id_bytes(model)
     with Scratch(docs.sparkSession, "token-ids") as scratch:
-        ids = scratch.store(pieces.encode_ids(source, model, width), "ids")
+        ids = scratch.store(pieces.encode_ids(source, model, width), "ids", CODEC)
         return _write(ids.withColumnRenamed("ids", "tokens"), path, length, rows, width)
 
 
