@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epifold.llm import words
+from epifold.llm.merges import PLACE_BITS, Merger
 
 BLANK = "▁"
 # Kinds of piece and of model in the model file.
@@ -33,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
 #: Parts whose pieces a worker remembers.
 REMEMBERED = 100_000
+#: Bytes of texts whose parts are merged together.
+TOGETHER = 1 << 23
 #: Characters up to which pairs are scanned instead of queued.
 SHORT = 64
 
@@ -136,6 +139,9 @@ class Model:
         self.parts = None if inner else re.compile(f" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
         self.plain = not self.map.units and not self.squeeze and self.parts is not None and self.fallback
         self.memory = Memory(self._part)
+        # Blocks of texts are merged together where every text starts with a blank that is a piece.
+        together = self.plain and self.prefix and BLANK in self.ids and len(self.byte_ids) == 256 and len(kinds) < 1 << (30 - PLACE_BITS)
+        self.merger = Merger(self, BLANK, self._part) if together else None
 
     def normalise(self, text: str) -> tuple[list[str], list[int], list[int]]:
         """Characters, and the source bytes [start, stop) of each."""
@@ -268,6 +274,47 @@ class Model:
             return self.encode(text)[0].tobytes()
         return b"".join((self.first, self._remembered(text)[1], self.last))
 
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of :meth:`encode_ids` of texts that lie back to back, and the ids before each; an empty text has none."""
+        sizes = np.diff(offsets)
+        alone = self._alone(data, offsets) & (sizes > 0)
+        together = ~alone & (sizes > 0)
+        counts = np.zeros(len(sizes), np.int64)
+        flat = np.zeros(0, np.int32)
+        if together.any():
+            some = data[np.repeat(together, sizes)] if alone.any() else data
+            ids, before = self.merger.block(some, words.offsets_of(sizes[together]))
+            counts[together] = np.diff(before) + 2
+            edges = words.offsets_of(counts[together])
+            flat = np.empty(edges[-1], np.int32)
+            inner = np.ones(len(flat), bool)
+            inner[edges[:-1]] = inner[edges[1:] - 1] = False
+            flat[inner] = ids
+            flat[edges[:-1]], flat[edges[1:] - 1] = self.begin, self.end
+        rows = np.flatnonzero(alone)
+        if not len(rows):
+            return flat, words.offsets_of(counts)
+        at = words.offsets_of(counts)[rows]
+        own = [np.frombuffer(self.encode_ids(data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")), np.int32) for r in rows.tolist()]
+        counts[rows] = [len(ids) for ids in own]
+        return np.insert(flat, np.repeat(at, counts[rows]), np.concatenate(own)), words.offsets_of(counts)
+
+    def _alone(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts that are not encoded together with others: those with a written "▁" or bytes that are no text."""
+        if self.merger is None:
+            return np.ones(len(offsets) - 1, bool)
+        out = np.zeros(len(offsets) - 1, bool)
+        raw, blank = data.tobytes(), BLANK.encode()
+        at = raw.find(blank)
+        while at >= 0:
+            row = np.searchsorted(offsets, at, "right") - 1
+            out[row] = True
+            at = raw.find(blank, int(offsets[row + 1]))
+        starts = offsets[:-1][np.diff(offsets) > 0]
+        if not (_is_text(raw) and ((data[starts] & 0xC0) != 0x80).all()):
+            out |= [not _is_text(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        return out
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first and last byte of each piece, with the begin and end ids."""
         if not self.plain or BLANK in text:
@@ -326,6 +373,14 @@ class Model:
         return self._bytes
 
 
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _lenient(raw: bytes) -> Iterator[str]:
     """Characters of bytes; every byte that starts none is a replacement sign."""
     at = 0
@@ -411,11 +466,10 @@ def encode_ids(docs: DataFrame, path: str, width: int = 4) -> DataFrame:
 
         model = load(shared)
         for batch in batches:
-            for i, j, data, offsets in words.text_blocks(batch, "text"):
-                out = [model.encode_ids(data[a:b].tobytes().decode("utf-8", "replace")) if b > a else b"" for a, b in zip(offsets, offsets[1:])]
-                bounds = words.offsets_of(np.array([len(ids) for ids in out])) // 4 * width
-                flat = np.frombuffer(b"".join(out), np.int32).astype(f"<u{width}").view(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), words.binary(flat, bounds)], ["doc_id", "ids"])
+            for i, j, data, offsets in words.text_blocks(batch, "text", TOGETHER):
+                ids, bounds = model.encode_block(data, offsets)
+                flat = ids.astype(f"<u{width}").view(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), words.binary(flat, bounds * width)], ["doc_id", "ids"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
