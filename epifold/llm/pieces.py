@@ -17,6 +17,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -140,8 +141,11 @@ class Model:
         self.plain = not self.map.units and not self.squeeze and self.parts is not None and self.fallback
         self.memory = Memory(self._part)
         # Blocks of texts are merged together where every text starts with a blank that is a piece.
-        together = self.plain and self.prefix and BLANK in self.ids and len(self.byte_ids) == 256 and len(kinds) < 1 << (30 - PLACE_BITS)
-        self.merger = Merger(self, BLANK, self._part) if together else None
+        self.together = self.plain and self.prefix and BLANK in self.ids and len(self.byte_ids) == 256 and len(kinds) < 1 << (30 - PLACE_BITS)
+
+    @cached_property
+    def merger(self) -> Merger:
+        return Merger(self, BLANK, self._part)
 
     def normalise(self, text: str) -> tuple[list[str], list[int], list[int]]:
         """Characters, and the source bytes [start, stop) of each."""
@@ -301,7 +305,7 @@ class Model:
 
     def _alone(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The texts that are not encoded together with others: those with a written "▁" or bytes that are no text."""
-        if self.merger is None:
+        if not self.together:
             return np.ones(len(offsets) - 1, bool)
         out = np.zeros(len(offsets) - 1, bool)
         raw, blank = data.tobytes(), BLANK.encode()

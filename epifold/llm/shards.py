@@ -51,7 +51,7 @@ HEADER = 16
 #: Bytes of tokens whose records are dealt together.
 BLOCK = 1 << 22
 #: Codec and level of what lies on disk between the input and the shards.
-CODEC, LEVEL = "zstd", 3
+CODEC, LEVEL = "zstd", 9
 
 
 def permute(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
@@ -77,7 +77,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def _records(source: DataFrame, bases: DataFrame, total: int, length: int, rows: int, width: int) -> DataFrame:
-    """(shard, n, load): slots and records of a block that go to one shard.
+    """(shard, n, size, load): slots, heads and tokens of the records of a block that go to one shard, ``size`` bytes of tokens.
 
     ``bases`` is (part, n, first): the sequences of each partition and those before them.
     """
@@ -104,12 +104,13 @@ def _records(source: DataFrame, bases: DataFrame, total: int, length: int, rows:
                 size = np.minimum(offsets[row + 1] - start, span)
                 slots = permute(number + np.arange(len(row)), total)
                 number += len(row)
-                out = np.full((len(row), HEADER + span), PAD, np.uint8)
-                out[:, :8] = ids[i:j][row].astype(">i8").view(np.uint8).reshape(-1, 8)
-                out[:, 8:12] = place.astype(">i4").view(np.uint8).reshape(-1, 4)
-                out[:, 12:16] = (size // width).astype(">i4").view(np.uint8).reshape(-1, 4)
+                heads = np.empty((len(row), HEADER), np.uint8)
+                heads[:, :8] = ids[i:j][row].astype(">i8").view(np.uint8).reshape(-1, 8)
+                heads[:, 8:12] = place.astype(">i4").view(np.uint8).reshape(-1, 4)
+                heads[:, 12:] = (size // width).astype(">i4").view(np.uint8).reshape(-1, 4)
                 inside = np.arange(span) < size[:, None]
-                out[:, HEADER:][inside] = data
+                tokens = np.empty((len(row), span), np.uint8)
+                tokens[inside] = data
                 shard = slots // rows
                 # Neighbours in the input stay neighbours, which helps to compress them.
                 order = np.argsort(shard, kind="stable")
@@ -119,9 +120,10 @@ def _records(source: DataFrame, bases: DataFrame, total: int, length: int, rows:
                     [
                         pa.array(shard[order[cuts]].astype(np.int32)),
                         pa.array([len(g) for g in groups], pa.int64()),
-                        pa.array([codec.compress(slots[g].tobytes() + out[g].tobytes(), asbytes=True) for g in groups], pa.binary()),
+                        pa.array([int(size[g].sum()) for g in groups], pa.int64()),
+                        pa.array([codec.compress(slots[g].tobytes() + heads[g].tobytes() + tokens[g][inside[g]].tobytes(), asbytes=True) for g in groups], pa.binary()),
                     ],
-                    ["shard", "n", "load"],
+                    ["shard", "n", "size", "load"],
                 )
         if number != stop:
             raise RuntimeError("the input's partitions changed between its two reads")
@@ -130,20 +132,25 @@ def _records(source: DataFrame, bases: DataFrame, total: int, length: int, rows:
     numbered = source.withColumn("part", F.spark_partition_id()).join(F.broadcast(bases), "part", "left")
     zero = F.lit(0).cast("long")
     known = numbered.select("doc_id", "tokens", F.coalesce("first", zero).alias("first"), F.coalesce("n", zero).alias("n"))
-    return known.mapInArrow(run, "shard int, n long, load binary")
+    return known.mapInArrow(run, "shard int, n long, size long, load binary")
 
 
-def _in_order(loads: DataFrame, size: int) -> DataFrame:
-    """The records of each partition, which is one shard, by slot."""
+def _in_order(loads: DataFrame, span: int, width: int) -> DataFrame:
+    """The records of each partition, which is one shard, by slot, their tokens filled up to ``span`` bytes."""
+    size = HEADER + span
 
     def run(batches):
         codec = pa.Codec(CODEC)
         slots, records = [], []
         for batch in batches:
-            for n, load in zip(batch.column("n").to_pylist(), batch.column("load")):
-                raw = codec.decompress(load.as_py(), n * (8 + size), asbytes=True)
+            for n, filled, load in zip(batch.column("n").to_pylist(), batch.column("size").to_pylist(), batch.column("load")):
+                raw = codec.decompress(load.as_py(), n * (8 + HEADER) + filled, asbytes=True)
                 slots.append(np.frombuffer(raw, np.int64, n))
-                records.append(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(n, size))
+                out = np.full((n, size), PAD, np.uint8)
+                out[:, :HEADER] = np.frombuffer(raw, np.uint8, n * HEADER, 8 * n).reshape(n, HEADER)
+                held = out[:, 12:HEADER].copy().view(">i4") * width
+                out[:, HEADER:][np.arange(span) < held] = np.frombuffer(raw, np.uint8, offset=n * (8 + HEADER))
+                records.append(out)
         if not slots:
             return
         order, records = np.argsort(np.concatenate(slots)), np.concatenate(records)
@@ -166,7 +173,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, rows: int = R
         return _write(source.withColumnRenamed("text", "tokens"), path, length, rows, 1)
     width = pieces.id_bytes(model)
     with Scratch(docs.sparkSession, "token-ids") as scratch:
-        ids = scratch.store(pieces.encode_ids(source, model, width), "ids", CODEC)
+        ids = scratch.store(pieces.encode_ids(source, model, width), "ids", CODEC, LEVEL)
         return _write(ids.withColumnRenamed("ids", "tokens"), path, length, rows, width)
 
 
@@ -183,7 +190,7 @@ def _write(source: DataFrame, path: str, length: int, rows: int, width: int) ->
         loads = _records(source, bases, total, length, rows, width)
         if shards:
             loads = loads.repartitionById(shards, "shard")
-        _in_order(loads, HEADER + length * width).select(F.col("record").cast("string").alias("value")).write.text(path)
+        _in_order(loads, length * width, width).select(F.col("record").cast("string").alias("value")).write.text(path)
     return total
 
 

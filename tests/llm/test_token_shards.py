@@ -65,3 +65,26 @@ def test_what_lies_on_disk_between_is_packed_tightly(spark, sf_dir, tmp_path, mo
     monkeypatch.setattr(Scratch, "store", store)
     write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "shards"), model=model_path())
     assert 0 < sizes["disk"] < 0.68 * sizes["raw"]
+
+
+def test_records_travel_without_their_filling(spark, sf_dir, tmp_path, monkeypatch):
+    """Filled records and ids at level 3 took 1.09 times the size of the ids here, now 0.97."""
+    from epifold.llm import shards
+
+    sizes, stored, ordered = {}, Scratch.store, shards._in_order
+
+    def store(self, df, name, *more):
+        out = stored(self, df, name, *more)
+        if name == "ids":
+            sizes["raw"] = out.agg(F.sum(F.octet_length("ids"))).first()[0]
+            sizes["ids"] = sum(p.stat().st_size for p in Path(f"{self.root}/{name}".removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    def in_order(loads, *more):
+        sizes["loads"] = loads.agg(F.sum(F.octet_length("load"))).first()[0]
+        return ordered(loads, *more)
+
+    monkeypatch.setattr(Scratch, "store", store)
+    monkeypatch.setattr(shards, "_in_order", in_order)
+    write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "shards"), model=model_path())
+    assert 0 < sizes["ids"] + sizes["loads"] < 1.03 * sizes["raw"]
