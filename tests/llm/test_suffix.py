@@ -4,7 +4,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from epifold.llm import suffix
+from epifold.llm import catalog, suffix
 from epifold.llm.bwt import repeated_starts
 from epifold.sources.storage import Scratch
 
@@ -85,3 +85,14 @@ def test_bytes_of_whole_repeats_are_not_moved(frame, monkeypatch):
     got = suffix.remove_repeats(frame(rows), length=40, gram=8).collect()
     assert sorted((tuple(r) for r in got), key=str) == expected(rows, 40)
     assert held and sum(held) < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_query_cuts_from_400_bytes_on(spark, frame, tmp_path):
+    """The contract's length counts, not the words: 57 words in 399 bytes stay, 400 bytes go."""
+    short, full = " ".join(f"w{k:05d}" for k in range(57)) + ".", noise(400)
+    assert len(short) == 399
+    # Other bytes stand on both sides, so that no repeat is longer than meant.
+    rows = [(1, "a" + short + "b"), (2, "c" + short + "d"), (3, "e" + full + "f"), (4, "g" + full + "h"), (5, noise(900))]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in catalog.load()[0]["op8_suffix"](spark, str(tmp_path)).collect()}
+    assert got == {1: (401, 0, 0), 2: (401, 0, 0), 3: (402, 400, 1), 4: (402, 400, 1), 5: (900, 0, 0)}
