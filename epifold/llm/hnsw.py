@@ -10,6 +10,7 @@ queries in step, so the work is in array operations.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -17,6 +18,8 @@ DEGREE = 12
 BEAM = 48
 BATCH = 512
 FIRST = 128
+#: Queries of an audit that are compared with all points at once.
+AUDITED = 64
 
 
 def _select(sims: np.ndarray, between: np.ndarray, keep: int) -> np.ndarray:
@@ -44,7 +47,7 @@ def _pack(ids: np.ndarray, chosen: np.ndarray, keep: int) -> np.ndarray:
 
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int):
     """The ``beam`` best points found for each query, best first, -1 where there are fewer."""
-    rows, width = len(queries), links.shape[1]
+    rows = len(queries)
     every = np.arange(rows)
     seen = np.zeros((rows, len(points) + 1), bool)
     seen[:, -1] = True
@@ -59,6 +62,7 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
     seen[every[:, None], ids[:, :k]] = True
     order = np.argsort(-sims, axis=1)
     ids, sims, done = (np.take_along_axis(x, order, 1) for x in (ids, sims, done))
+    cells, across = seen.reshape(-1), seen.shape[1]
     while True:
         best = np.argmin(done, axis=1)
         live = np.flatnonzero(~done[every, best])
@@ -67,20 +71,44 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
         at = best[live]
         done[live, at] = True
         near = links[ids[live, at]]
-        fresh = ~seen[live[:, None], near]
-        seen[live[:, None], near] = True
-        found = np.where(fresh, np.einsum("rd,rkd->rk", queries[live], points[near]), -np.inf)
-        all_sims = np.concatenate([sims[live], found], axis=1)
-        order = np.argsort(-all_sims, axis=1)[:, :beam]
-        all_ids = np.concatenate([ids[live], np.where(fresh, near, -1)], axis=1)
-        all_done = np.concatenate([done[live], ~fresh], axis=1)
-        sims[live] = np.take_along_axis(all_sims, order, 1)
-        ids[live] = np.take_along_axis(all_ids, order, 1)
-        done[live] = np.take_along_axis(all_done, order, 1)
+        # A link that is not there leads to the last column, which counts as seen.
+        cell = (live * across)[:, None] + np.where(near < 0, across - 1, near)
+        row, col = np.nonzero(~cells[cell])
+        cells[cell[row, col]] = True
+        new, asks = near[row, col], live[row]
+        found = np.einsum("rd,rd->r", queries.take(asks, axis=0), points.take(new, axis=0))
+        # What is no better than the last of a beam leaves it as it is.
+        better = found > sims[asks, -1]
+        row, new, found = row[better], new[better], found[better]
+        count = np.bincount(row, minlength=len(live))
+        some = np.flatnonzero(count)
+        if not len(some):
+            continue
+        live, first, wide = live[some], np.cumsum(count) - count, beam + int(count.max())
+        place = np.repeat(np.arange(len(some)) * wide + beam - first[some], count[some]) + np.arange(len(row))
+        all_sims, all_ids, all_done = (np.full((len(some), wide), x, y.dtype) for x, y in ((-np.inf, sims), (-1, ids), (True, done)))
+        for into, x, more in ((all_sims, sims, found), (all_ids, ids, new), (all_done, done, False)):
+            into[:, :beam] = x[live]
+            into.reshape(-1)[place] = more
+        order = np.argsort(-all_sims, axis=1)[:, :beam] + (np.arange(len(some)) * wide)[:, None]
+        sims[live], ids[live], done[live] = (x.reshape(-1)[order] for x in (all_sims, all_ids, all_done))
+
+
+class Layer:
+    """Members of a layer with their links, which are places in the layer."""
+
+    def __init__(self, points: np.ndarray, members: np.ndarray, links: np.ndarray):
+        self.members, self.links, self.points = members, links, points[members]
+        self.place = np.full(len(points) + 1, -1, np.int32)
+        self.place[members] = np.arange(len(members), dtype=np.int32)
+
+    def places(self, points: np.ndarray) -> np.ndarray:
+        """Places of points of the shard, -1 for those that are not here."""
+        return self.place[points]
 
 
 class Graph:
-    """Layers of (members, links); links are places in the layer, entries lead one layer down."""
+    """Layers from the sparsest to the one of all points; entries lead one layer down."""
 
     def __init__(self, points: np.ndarray, seed: int = 1):
         self.points = points
@@ -89,33 +117,27 @@ class Graph:
         rng = np.random.default_rng(seed)
         top = np.minimum(np.floor(-np.log(rng.random(n)) / np.log(DEGREE)).astype(int), 6)
         shuffled = rng.permutation(n)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []
+        self.layers: list[Layer] = []
         for level in range(int(top.max(initial=0)), -1, -1):
             members = shuffled[top[shuffled] >= level]
             if level and len(members) < 2 * DEGREE:
                 continue
-            self.layers.append((members, self._build(members, 2 * DEGREE if level == 0 else DEGREE)))
+            self.layers.append(self._build(members, 2 * DEGREE if level == 0 else DEGREE))
 
-    def _entries(self, queries: np.ndarray, layers: list) -> np.ndarray:
+    def _entries(self, queries: np.ndarray, layers: list[Layer]) -> np.ndarray:
         """Points of the whole shard at which a search below these layers starts."""
         found = None
-        for members, links in layers:
-            entry = np.zeros((len(queries), 1), np.int32) if found is None else self._places(members, found)
-            ids, _ = beam_search(self.points[members], links, queries, entry, 4)
-            found = np.where(ids >= 0, members[ids], -1)
+        for layer in layers:
+            entry = np.zeros((len(queries), 1), np.int32) if found is None else layer.places(found)
+            ids, _ = beam_search(layer.points, layer.links, queries, entry, 4)
+            found = np.where(ids >= 0, layer.members[ids], -1)
         return found
 
-    @staticmethod
-    def _places(members: np.ndarray, points: np.ndarray) -> np.ndarray:
-        order = np.argsort(members)
-        place = np.searchsorted(members[order], np.maximum(points, 0))
-        place = order[np.minimum(place, len(order) - 1)]
-        return np.where((points >= 0) & (members[place] == points), place, -1).astype(np.int32)
-
-    def _build(self, members: np.ndarray, keep: int) -> np.ndarray:
-        x = self.points[members]
-        n = len(x)
+    def _build(self, members: np.ndarray, keep: int) -> Layer:
+        n = len(members)
         links = np.full((n, keep), -1, np.int32)
+        layer = Layer(self.points, members, links)
+        x = layer.points
         done = 0
         while done < n:
             size = min(n - done, FIRST if not done else min(BATCH, done))
@@ -127,7 +149,7 @@ class Graph:
             ids, sims = new[part], np.take_along_axis(own, part, 1)
             if done:
                 entry = self._entries(x[new], self.layers)
-                entry = np.zeros((size, 1), np.int32) if entry is None else self._places(members, entry)
+                entry = np.zeros((size, 1), np.int32) if entry is None else layer.places(entry)
                 entry = np.where((entry >= 0) & (entry < done), entry, -1)
                 entry = np.concatenate([entry, np.full((size, 1), 0, np.int32)], axis=1)
                 entry[:, -1] = np.where((entry[:, :-1] == 0).any(axis=1), -1, 0)
@@ -141,8 +163,9 @@ class Graph:
             source, target = source[order], target[order]
             points, start, count = np.unique(target, return_index=True, return_counts=True)
             width = int(count.max(initial=0))
-            for a in range(0, len(points), BATCH):
-                p, s, c = points[a : a + BATCH], start[a : a + BATCH], count[a : a + BATCH]
+            step = self._step(x)
+            for a in range(0, len(points), step):
+                p, s, c = points[a : a + step], start[a : a + step], count[a : a + step]
                 width = int(c.max())
                 back = np.full((len(p), width), -1, np.int32)
                 row = np.repeat(np.arange(len(p)), c)
@@ -153,26 +176,39 @@ class Graph:
                 sims = np.where(ids >= 0, np.einsum("rd,rkd->rk", x[p], x[ids]), -np.inf)
                 self._link(x, links, p, ids, sims, keep)
             done += size
-        return links
+        return layer
 
     @staticmethod
-    def _link(x, links, rows, ids, sims, keep, limit=64):
+    def _step(x: np.ndarray) -> int:
+        """Rows that are linked at once: fewer, the longer vectors are."""
+        return max(16, min(BATCH, (1 << 15) // x.shape[1]))
+
+    @classmethod
+    def _link(cls, x, links, rows, ids, sims, keep, limit=64):
         order = np.argsort(-sims, axis=1)[:, :limit]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        near = x[ids]
-        links[rows] = _pack(ids, _select(sims, near @ near.transpose(0, 2, 1), keep), keep)
+        step = cls._step(x)
+        for a in range(0, len(rows), step):
+            near = x[ids[a : a + step]]
+            chosen = _select(sims[a : a + step], near @ near.transpose(0, 2, 1), keep)
+            links[rows[a : a + step]] = _pack(ids[a : a + step], chosen, keep)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        members, links = self.layers[-1]
+        last = self.layers[-1]
         entry = self._entries(queries, self.layers[:-1])
-        entry = np.zeros((len(queries), 1), np.int32) if entry is None else self._places(members, entry)
-        ids, sims = beam_search(self.points[members], links, queries, entry, beam)
-        return np.where(ids >= 0, members[ids], -1), sims
+        entry = np.zeros((len(queries), 1), np.int32) if entry is None else last.places(entry)
+        ids, sims = beam_search(last.points, last.links, queries, entry, beam)
+        return np.where(ids >= 0, last.members[ids], -1), sims
 
     def within(self, queries: np.ndarray, least: float, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) pairs at least that similar; a beam full of them is widened."""
+        rows, found = zip(*self.pairs(queries, least, beam)) if len(queries) else ((), ())
+        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(found or [np.zeros(0, int)])
+
+    def pairs(self, queries: np.ndarray, least: float, beam: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of ``within`` in pieces: however many there are, few are held at once."""
         beam, n = min(beam or self.beam, len(self.points)), len(self.points)
-        todo, rows, found = np.arange(len(queries)), [], []
+        todo = np.arange(len(queries))
         while len(todo):
             full = []
             batch = max(16, min(BATCH, (1 << 23) // max(1, n), (1 << 17) // max(1, beam)))
@@ -188,27 +224,24 @@ class Graph:
                     full.append(part[more])
                     q, place = np.nonzero(hit & ~more[:, None])
                     p = ids[q, place]
-                rows.append(part[q])
-                found.append(p)
+                yield part[q], p
             todo = np.concatenate(full) if full else todo[:0]
             beam = min(n, 2 * beam)
-        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(found or [np.zeros(0, int)])
 
     def audit(self, least: float, sample: int, wanted: float) -> None:
         """Widen the beam until a sample of points finds its links; a beam of all points finds them all."""
         n = len(self.points)
         queries = self.points[np.linspace(0, n - 1, min(n, sample)).astype(int)]
-        true = queries @ self.points.T
-        links = int((true >= least).sum())
+        links = sum(int((queries[i : i + AUDITED] @ self.points.T >= least).sum()) for i in range(0, len(queries), AUDITED))
         while self.beam < n:
-            found = len(self.within(queries, least)[0])
+            found = sum(len(q) for q, _ in self.pairs(queries, least))
             if found >= wanted * links:
                 return
             self.beam = min(n, 2 * self.beam)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        layers = {f"{kind}{i}": x.astype(np.int32) for i, layer in enumerate(self.layers) for kind, x in zip("ml", layer)}
+        layers = {f"{kind}{i}": x.astype(np.int32) for i, y in enumerate(self.layers) for kind, x in (("m", y.members), ("l", y.links))}
         np.savez(out, beam=self.beam, **layers)
         return out.getvalue()
 
@@ -217,5 +250,5 @@ class Graph:
         graph = cls.__new__(cls)
         stored = np.load(io.BytesIO(content))
         graph.points, graph.beam = points, int(stored["beam"])
-        graph.layers = [(stored[f"m{i}"], stored[f"l{i}"]) for i in range((len(stored.files) - 1) // 2)]
+        graph.layers = [Layer(points, stored[f"m{i}"], stored[f"l{i}"]) for i in range((len(stored.files) - 1) // 2)]
         return graph
